@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, linededup, quality, simhash
+from . import bpe, decontam, flac, langid, linededup, quality, simhash
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +42,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_bpe, op7_decontam, op8_quality, op9_linededup, op10_simhash)}
+    return {f.__name__: f for f in (op1_langid, op3_bpe, op4_flac, op7_decontam, op8_quality, op9_linededup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
