@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, flac, langid, linededup, quality, simhash
+from . import bpe, decontam, flac, langid, linededup, maintext, quality, simhash
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op2_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -42,7 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_bpe, op4_flac, op7_decontam, op8_quality, op9_linededup, op10_simhash)}
+    return {f.__name__: f for f in (op1_langid, op2_maintext, op3_bpe, op4_flac, op7_decontam, op8_quality, op9_linededup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
