@@ -42,16 +42,20 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """A dict that computes what is missing and starts anew at a fixed size, so that memory stays bounded."""
+    """A dict that computes what is missing, in bounded memory: when it is full it becomes the older generation, from
+    which keys that are asked for again come back."""
 
-    def __init__(self, make, most: int = 400_000, longest: int = 64):
+    def __init__(self, make, most: int = 250_000, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -162,13 +166,14 @@ class ForcedBoundaryBPE:
             if piece in self.special:
                 parts.append(struct.pack("<I", self.special[piece]))
                 continue
-            if piece.isascii():
-                chunks = ASCII_OTHER.split(piece.lower()) if ASCII_ODD.search(piece) else piece.lower().split()
-            else:
+            if not piece.isascii():
                 piece = unicodedata.normalize("NFC", piece)
-                chunks = SPACE.split((piece.translate(SIGMA) if "Σ" in piece else piece).lower())
-            parts += map(self.chunks.__getitem__, filter(None, chunks))
-        return [p for p in parts if p]
+                if "Σ" in piece:
+                    piece = piece.translate(SIGMA)
+            piece = piece.lower()
+            chunks = filter(None, SPACE.split(piece)) if any(c in piece for c in NOT_SPACE) else piece.split()
+            parts += map(self.chunks.__getitem__, chunks)
+        return parts
 
     def encode(self, text: str | None) -> list[int]:
         ids = b"".join(self.encode_parts(text or ""))
@@ -183,8 +188,7 @@ class ForcedBoundaryBPE:
 
 
 #: str.split() also splits at these controls, which the vocabulary's pattern keeps.
-ASCII_ODD = re.compile("[\x1c-\x1f]")
-ASCII_OTHER = re.compile("[ \t-\r]+")
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 @lru_cache(2)
