@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, flac, langid, linededup, maintext, pii, quality, simhash
+from . import bpe, decontam, flac, langid, linededup, maintext, pii, quality, simhash, suffixdedup
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_maintext, op3_bpe, op4_flac, op5_pii, op7_decontam, op8_quality, op9_linededup, op10_simhash)}
+    return {f.__name__: f for f in (op1_langid, op2_maintext, op3_bpe, op4_flac, op5_pii, op6_suffixdedup, op7_decontam, op8_quality, op9_linededup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
