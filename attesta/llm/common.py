@@ -36,6 +36,34 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., tup
     return df.mapInArrow(run, struct)
 
 
+def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], using: str | None = None) -> DataFrame:
+    """df with another text: the function maps a list of texts (and, with using, that column's values) to new texts."""
+    at, more = df.columns.index("text"), df.columns.index(using) if using else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            args = [batch.column(k).to_pylist() for k in (at, more) if k is not None]
+            columns = list(batch.columns)
+            columns[at] = pa.array(f(*args), pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    out = df.mapInArrow(run, df.schema)
+    return out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
+
+
+def keep_texts(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns, whose text the function keeps: no shuffle and no join by id."""
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            yield batch.filter(pa.array(f(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn from; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(HELD_OUT_MODULUS)) == HELD_OUT_REMAINDER, F.lit(False))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import keep_texts, map_columns
 
 WORD = re.compile(r"\w+")
 #: Output symbols for each word of the item, and the letters sampled by a walk.
@@ -192,16 +192,32 @@ def pack(codes: np.ndarray, q: int) -> np.ndarray:
     return np.where(known, out, -1)
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.97, block_chars: int = 4_000_000, text_words: int = 400_000) -> DataFrame:
-    """doc_id, item_id, edits, similarity, start_word, end_word: each document's best match with each item within the limit."""
-    rows = items.select("item_id", "text").where(F.col("text").isNotNull()).repartition(1).sortWithinPartitions("item_id", "text").toLocalIterator()
+def item_blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
+    """The items' ids and texts, in blocks that are small enough to broadcast; one block at a time is taken from Spark."""
     blocks, size = [[]], 0
-    for r in rows:
+    for r in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         if blocks[-1] and size + len(r[1]) > block_chars:
             blocks.append([])
             size = 0
         blocks[-1].append((r[0], r[1]))
         size += len(r[1])
+    return [sorted(b, key=lambda r: (r[0] is None, r[0] or 0, r[1])) for b in blocks]
+
+
+def parts_of(texts: list, most: int):
+    """Slices of texts with about `most` letters each."""
+    low = 0
+    while low < len(texts):
+        high, n = low, 0
+        while high < len(texts) and (high == low or n < most):
+            n += len(texts[high] or "")
+            high += 1
+        yield low, high
+        low = high
+
+
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.97, block_chars: int = 4_000_000, part_chars: int = 2_400_000) -> DataFrame:
+    """doc_id, item_id, edits, similarity, start_word, end_word: each document's best match with each item within the limit."""
     schema = "doc_id long, item_id long, edits int, similarity double, start_word int, end_word int"
 
     def scan(block):
@@ -211,19 +227,33 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: fl
             own = index.value
 
             def run(keys, texts):
-                out, low = [], 0
-                while low < len(texts):
-                    high, n = low, 0
-                    while high < len(texts) and (high == low or n < text_words * 6):
-                        n += len(texts[high] or "")
-                        high += 1
+                out = []
+                for low, high in parts_of(texts, part_chars):
                     for d, k, e, s, t in own.search(texts[low:high]):
                         out.append((keys[low + d], own.items[k][0], e, 1 - e / len(own.codes[k]), s, t))
-                    low = high
                 return tuple(map(list, zip(*out))) if out else ([], [], [], [], [], [])
 
             return run
 
         return map_columns(docs.select("doc_id", "text"), schema, make)
 
-    return reduce(DataFrame.union, map(scan, blocks))
+    return reduce(DataFrame.union, map(scan, item_blocks(items, block_chars)))
+
+
+def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.97, block_chars: int = 4_000_000, part_chars: int = 2_400_000) -> DataFrame:
+    """The documents without a match, with all their columns."""
+    for block in item_blocks(items, block_chars):
+        index = docs.sparkSession.sparkContext.broadcast(EditIndex(block, similarity, recall))
+
+        def make(index=index):
+            def run(texts):
+                keep = [True] * len(texts)
+                for low, high in parts_of(texts, part_chars):
+                    for d, *_ in index.value.search(texts[low:high]):
+                        keep[low + d] = False
+                return keep
+
+            return run
+
+        docs = keep_texts(docs, make)
+    return docs

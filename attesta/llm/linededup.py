@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise
+from .common import map_columns, map_text, materialise
 
 SEGMENT_BITS = 1 << 16
 PROBES = 2
@@ -231,6 +231,26 @@ def kept_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
     return map_columns(docs.select("doc_id", "text"), schema, make)
 
 
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, broadcast_bytes: int = 16 << 20, **options) -> DataFrame:
+    """docs, all columns and rows, without the lines of shared keys (n_chars follows the text)."""
+    shared, _ = materialise(shared_lines(docs, min_docs, min_chars, **options), "shared-lines")
+    size = shared.agg(F.coalesce(F.sum(F.length("key") + 100), F.lit(0))).first()[0]
+
+    def without(text: str | None, gone: set[int]) -> str | None:
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text
+
+    if size > broadcast_bytes or keep_first:
+        numbered = line_numbers(docs, shared, keep_first)
+        return map_text(numbered, lambda: lambda texts, dropped: [without(t, set(d or ())) for t, d in zip(texts, dropped)], "dropped").drop("dropped")
+    known = docs.sparkSession.sparkContext.broadcast({bytes(r[0]) for r in shared.select("key").collect()})
+
+    def make():
+        keys = known.value
+        return lambda texts: [without(t, {i for i, k in enumerate(keys_of(t)) if k in keys}) for t in texts]
+
+    return map_text(docs, make)
+
+
 def digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     return kept_lines(docs, **options).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import hashed_below, held_out, map_columns
+from .common import hashed_below, held_out, keep_texts, map_columns
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: The bucket after all others is for a word that follows itself; it counts as much as so many n-grams.
@@ -132,9 +132,7 @@ def score(docs: DataFrame, model: SubwordClassifier, threshold: float = THRESHOL
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        if (f := SCORERS.get(id(shared.value))) is None:
-            SCORERS.clear()
-            f = SCORERS[id(shared.value)] = shared.value.scorer()
+        f = scorer_of(shared.value)
 
         def run(keys, texts):
             scores = [f(t) for t in texts]
@@ -145,6 +143,24 @@ def score(docs: DataFrame, model: SubwordClassifier, threshold: float = THRESHOL
     return map_columns(rows, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double, predicted int", make)
 
 
+def good(docs: DataFrame, model: SubwordClassifier, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        f = scorer_of(shared.value)
+        return lambda texts: [f(t) >= threshold for t in texts]
+
+    return keep_texts(docs, make)
+
+
+def scorer_of(model: SubwordClassifier):
+    if (f := SCORERS.get(id(model))) is None:
+        SCORERS.clear()
+        f = SCORERS[id(model)] = model.scorer()
+    return f
+
+
 #: The last model's scorer in this worker process, with its memory of words.
 SCORERS: dict = {}
 

@@ -190,3 +190,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_si
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(names, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, with one document of every component: the one with the least doc_id.
+
+    A document without an id stays only if its component has no id at all.  Repeated rows of one id count once.
+    """
+    groups = near_duplicates(docs, **options)
+    kept, _ = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
+    out = docs.join(kept.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return out if kept.where("times > 1 and doc_id is not null").isEmpty() else out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
