@@ -291,7 +291,8 @@ def clean_page(html: str | None, url: str | None) -> dict:
         text = by_blocks
     if max(len(text), len(by_blocks)) < 200 and len(whole := normalize(body.text())) > max(len(text), len(by_blocks)):
         text = whole
-        blocks = blocks or [{"id": 1, "tag": "body", "text": whole, "dom_path": "body", "line_start": body.line_start, "line_end": body.line_end, "section": None, "section_path": []}]
+    if text and not blocks:
+        blocks = [{"id": 1, "tag": "text", "text": text, "dom_path": "body", "line_start": None, "line_end": None, "section": None, "section_path": []}]
     headings = list(dict.fromkeys(t for e in root.walk() if e.tag in ("h1", "h2", "h3") and (t := re.sub(r"\s+", " ", e.text()).strip())))[:24]
     get = lambda *keys: next((metadata[k] for k in keys if metadata.get(k)), None)
     return found | {"title": get("og:title", "twitter:title", "title"), "byline": get("author"), "excerpt": get("description", "og:description"), "site_name": get("og:site_name"), "text": text, "headings": headings, "blocks": blocks, "links": links_of(root, url or "")}
