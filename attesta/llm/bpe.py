@@ -16,13 +16,12 @@ import json
 import re
 import struct
 import unicodedata
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import map_columns
+from .common import map_columns, worker_state
 
 END = "</w>"
 #: Above every rank.
@@ -191,10 +190,9 @@ class ForcedBoundaryBPE:
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
-@lru_cache(2)
 def tokenizer(raw: bytes) -> ForcedBoundaryBPE:
     """One per worker process; its memory of words lasts from task to task."""
-    return ForcedBoundaryBPE(raw)
+    return worker_state("bpe", raw, ForcedBoundaryBPE)
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

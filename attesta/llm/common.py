@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,6 +65,24 @@ def keep_texts(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]])
     return df.mapInArrow(run, df.schema)
 
 
+_STATE: dict = {}
+
+
+def worker_state(kind: str, source, build: Callable):
+    """build(source), kept in this worker process from task to task until another operator's state takes its place."""
+    if _STATE.get("kind") != kind or _STATE.get("source") is not source:
+        forget()
+        _STATE.update(kind=kind, source=source, value=build(source))
+    return _STATE["value"]
+
+
+def forget() -> None:
+    """Frees what an earlier operator kept in this worker process."""
+    if _STATE:
+        _STATE.clear()
+        gc.collect()
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn from; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(HELD_OUT_MODULUS)) == HELD_OUT_REMAINDER, F.lit(False))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_texts, map_columns
+from .common import forget, keep_texts, map_columns
 
 WORD = re.compile(r"\w+")
 #: Output symbols for each word of the item, and the letters sampled by a walk.
@@ -75,7 +75,10 @@ class EditIndex:
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
         self.longest = max(map(len, self.codes), default=1)
         steps = STRETCH * self.longest
-        self.moves = self.rng.random((most_repeats, steps, len(self.words) + 1)) < 0.5
+        #: The walk's shared random bit for (walk, step, symbol) is the top bit of a product of these.
+        self.symbols = self.rng.integers(1, 1 << 63, len(self.words) + 1, np.uint64) | np.uint64(1)
+        self.factors = self.rng.integers(1, 1 << 63, (most_repeats, steps), np.uint64) << np.uint64(1) | np.uint64(1)
+        self.shifts = self.rng.integers(0, 1 << 63, (most_repeats, steps), np.uint64)
         self.sampled = {m: np.sort(self.rng.integers(0, STRETCH * m, (most_repeats, SAMPLED)), axis=1) for m in {len(c) for c in self.codes}}
         self.repeats = self._plan(recall, most_repeats)
         self.signatures = {}
@@ -95,7 +98,8 @@ class EditIndex:
                 symbol = padded[rows, at]
                 for _ in range(int((wanted == step).sum())):
                     out[:, r] = (out[:, r] << 20) | symbol
-                at = np.minimum(at + self.moves[r, step, symbol], m)
+                moves = ((self.symbols[symbol] ^ self.shifts[r, step]) * self.factors[r, step]) >> np.uint64(63)
+                at = np.minimum(at + moves.astype(np.int64), m)
         return out
 
     def _plan(self, recall: float, most: int) -> int:
@@ -224,6 +228,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: fl
         index = docs.sparkSession.sparkContext.broadcast(EditIndex(block, similarity, recall))
 
         def make():
+            forget()
             own = index.value
 
             def run(keys, texts):
@@ -246,6 +251,8 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: fl
         index = docs.sparkSession.sparkContext.broadcast(EditIndex(block, similarity, recall))
 
         def make(index=index):
+            forget()
+
             def run(texts):
                 keep = [True] * len(texts)
                 for low, high in parts_of(texts, part_chars):

@@ -17,13 +17,12 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import hashed_below, held_out, map_columns
+from .common import hashed_below, held_out, map_columns, worker_state
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -114,9 +113,8 @@ class CrossParser:
         return self.langs[h.index(best)], 1 / sum(2 ** (3 * (best - x)) for x in h)
 
 
-@lru_cache(2)
 def parser(texts: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(texts)
+    return worker_state("langid", texts, CrossParser)
 
 
 def learn(docs: DataFrame, may_learn: Column, sample_docs: int = 120, train_chars: int = 60_000, most_langs: int = 200) -> tuple[tuple[str, str], ...]:

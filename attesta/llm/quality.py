@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import hashed_below, held_out, keep_texts, map_columns
+from .common import hashed_below, held_out, keep_texts, map_columns, worker_state
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: The bucket after all others is for a word that follows itself; it counts as much as so many n-grams.
@@ -155,14 +155,7 @@ def good(docs: DataFrame, model: SubwordClassifier, threshold: float = THRESHOLD
 
 
 def scorer_of(model: SubwordClassifier):
-    if (f := SCORERS.get(id(model))) is None:
-        SCORERS.clear()
-        f = SCORERS[id(model)] = model.scorer()
-    return f
-
-
-#: The last model's scorer in this worker process, with its memory of words.
-SCORERS: dict = {}
+    return worker_state("quality", model, SubwordClassifier.scorer)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
