@@ -15,7 +15,7 @@ from ..operators import capsule, chunk, crosssource, dom, evaluate, extract, pro
 from ..sources import cache, pages, search
 from ..streaming import pages as streams
 from . import sqltext as S
-from .stage import staged
+from .stage import cut, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -605,13 +605,13 @@ def web_extract(spark, sf_dir):
 @query()
 def web_research(spark, sf_dir):
     """The top pages of each query by corpus search, their selected chunks pooled, clustered, and ranked by agreement."""
-    base = dom.clean(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "headings")
+    base = cut(dom.clean(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "headings"))
     hits = search.corpus_search(base, "page_id", F.col("text"), TASKS[:2], 4)
     found = base.join(hits.select("query_id", "page_id", "rank"), "page_id").withColumn("task", F.element_at(T.strings(TASKS[:2]), F.col("query_id")))
     heads = staged(found, heads=chunk.match_headings(F.col("headings")))
     r = rank.rank(staged(heads, chunks=chunk.chunk_array(F.col("text"), F.col("heads"))), F.col("chunks"))
     picked = rank.select(r, 750).select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("source_index"), "page_id", F.explode("selected").alias("c"))
-    pool = picked.select("query_id", "source_index", "page_id", F.col("c.chunk_id").cast("long").alias("chunk_id"), "c.text", "c.normalized_score", "c.token_estimate")
+    pool = cut(picked.select("query_id", "source_index", "page_id", F.col("c.chunk_id").cast("long").alias("chunk_id"), "c.text", "c.normalized_score", "c.token_estimate"))
     clusters = crosssource.cluster(pool, by_vector=False)
     top = crosssource.one_per_cluster(crosssource.agreement(pool.join(clusters, ["query_id", "source_index", "chunk_id"])))
     return top.select("query_id", "rank", "page_id", "chunk_id", "cluster_id", "agreement_count", "combined_score", T.preview(F.col("text"), 240).alias("preview"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,3 +14,11 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     Projections collapse into their readers, and inside a lambda nothing is shared; a one-row generator is left alone by both.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, in the checkpoint folder that all executors share, for plans that read it several times."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-"))
+    return df.checkpoint()
