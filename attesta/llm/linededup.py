@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, map_text, materialise
+from .common import forget, map_columns, map_text, materialise
 
 SEGMENT_BITS = 1 << 16
 PROBES = 2
@@ -86,6 +86,7 @@ def twice_seen(docs: DataFrame, bits: int, least: int) -> np.ndarray:
     """The merged twice-seen filter of the keys of all documents; its size is fixed by bits."""
 
     def build(batches):
+        forget()
         filters = SeenFilters(bits)
         for batch in batches:
             keys: list[bytes] = []
@@ -172,21 +173,24 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_b
 COUNTS = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("doc", pa.int64()), ("line", pa.int32())])
 
 
+HASH, DROPPED = "__text_hash", "__dropped_lines"
+
+
 def line_numbers(docs: DataFrame, shared: DataFrame, keep_first: bool) -> DataFrame:
-    """The rows of docs with `dropped` array<int>, joined by key: the way for sets of keys of any size."""
-    docs = docs.withColumn("_text_hash", F.xxhash64("text"))
+    """The rows of docs with DROPPED, an array of line numbers, joined by key: the way for sets of keys of any size."""
+    docs = docs.withColumn(HASH, F.xxhash64("text"))
 
     def lines(keys, hashes, texts):
         out = [(d, h, n, k) for d, h, t in zip(keys, hashes, texts) for n, k in enumerate(keys_of(t)) if k]
         return tuple(map(list, zip(*out))) if out else ([], [], [], [])
 
-    each = map_columns(docs.select("doc_id", "_text_hash", "text"), "doc_id long, _text_hash long, n int, key binary", lambda: lines)
+    each = map_columns(docs.select("doc_id", HASH, "text"), f"doc_id long, {HASH} long, n int, key binary", lambda: lines)
     hit = each.join(shared, "key")
     if keep_first:
         hit = hit.where(~((F.col("doc_id") == F.col("first_doc")) & (F.col("n") == F.col("first_line"))))
-    found = hit.groupBy("doc_id", "_text_hash").agg(F.collect_set("n").alias("dropped"))
-    match = F.expr("docs.doc_id <=> found.doc_id and docs._text_hash <=> found._text_hash")
-    return docs.alias("docs").join(found.alias("found"), match, "left").select("docs.*", "found.dropped").drop("_text_hash")
+    found = hit.groupBy("doc_id", HASH).agg(F.collect_set("n").alias(DROPPED))
+    match = docs["doc_id"].eqNullSafe(F.col("__found.doc_id")) & (docs[HASH] == F.col(f"__found.{HASH}"))
+    return docs.join(found.alias("__found"), match, "left").select(*[docs[c] for c in docs.columns if c != HASH], F.col(f"__found.{DROPPED}"))
 
 
 def kept_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, broadcast_bytes: int = 16 << 20, **options) -> DataFrame:
@@ -206,7 +210,7 @@ def kept_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
                 out.append((k, len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
             return tuple(map(list, zip(*out))) if out else ([], [], [], [])
 
-        return map_columns(line_numbers(docs.select("doc_id", "text"), shared, keep_first).select("doc_id", "text", "dropped"), schema, lambda: by_number)
+        return map_columns(line_numbers(docs.select("doc_id", "text"), shared, keep_first).select("doc_id", "text", DROPPED), schema, lambda: by_number)
     first = {bytes(r[0]): (r[1], r[2]) for r in shared.select("key", "first_doc", "first_line").collect()}
     known = docs.sparkSession.sparkContext.broadcast(first)
 
@@ -241,7 +245,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
 
     if size > broadcast_bytes or keep_first:
         numbered = line_numbers(docs, shared, keep_first)
-        return map_text(numbered, lambda: lambda texts, dropped: [without(t, set(d or ())) for t, d in zip(texts, dropped)], "dropped").drop("dropped")
+        return map_text(numbered, lambda: lambda texts, dropped: [without(t, set(d or ())) for t, d in zip(texts, dropped)], DROPPED).drop(DROPPED)
     known = docs.sparkSession.sparkContext.broadcast({bytes(r[0]) for r in shared.select("key").collect()})
 
     def make():
