@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise, remove
+from .common import forget, map_columns, materialise, remove
 
 SEED = 42
 
@@ -178,6 +178,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_si
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable by links, itself included)."""
 
     def make():
+        forget()
+
         def run(keys, texts):
             return keys, [signed(fingerprint(t, shingle)) for t in texts]
 
@@ -195,9 +197,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_si
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with one document of every component: the one with the least doc_id.
 
-    A document without an id stays only if its component has no id at all.  Repeated rows of one id count once.
+    The ids that go are fewer than those that stay, so it is they that meet the documents again; Spark broadcasts them
+    while they are small and shuffles beyond that.  Documents without an id cannot be named, and stay.  Of repeated rows
+    of one id one stays.
     """
-    groups = near_duplicates(docs, **options)
-    kept, _ = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out if kept.where("times > 1 and doc_id is not null").isEmpty() else out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    groups = near_duplicates(docs, **options).where("doc_id is not null")
+    gone, _ = materialise(groups.where("doc_id != component_id").select("doc_id").distinct(), "copies")
+    again, _ = materialise(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
+    out = docs.join(gone.alias("__gone"), docs["doc_id"] == F.col("__gone.doc_id"), "left_anti")
+    if again.isEmpty():
+        return out
+    once = out.join(again.alias("__again"), out["doc_id"] == F.col("__again.doc_id"), "left_anti")
+    return once.union(out.join(again.alias("__again"), out["doc_id"] == F.col("__again.doc_id"), "left_semi").dropDuplicates(["doc_id"]))
