@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise
+from .common import map_columns, materialise, remove
 
 LENGTH, PIECE = 400, 32
 PERIOD = 64
 BASE = 0x9E3779B97F4A7C15
 #: Bits of a key that hold the position.
-PLACE = 28
+PLACE = 32
 
 
 @cache
@@ -266,8 +266,9 @@ def repeated_ranges(stretches: DataFrame, length: int, flush_bytes: int) -> Data
     return stretches.select("anchor", "c1", "c2", "n", "off", "stretch").mapInArrow(run, "c1 long, c2 long, ranges array<int>")
 
 
-def settle(spark) -> None:
-    """Lets Spark drop the shuffle files of finished steps."""
+def settle(spark, *paths: str) -> None:
+    """Drops tables and, through Spark, the shuffle files of finished steps."""
+    remove(spark, *paths)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -276,14 +277,15 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, hot: int = 20_000, flu
     """docs' doc_id and text, with `found` array<struct<a, ranges>>: window starts (from a on) whose strings occur elsewhere."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"))
-    found, _ = materialise(find_contexts(keyed.select("d", "h", "text"), length), "contexts")
-    pair = F.struct("c1", "c2")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min(pair).alias("low"), F.max(pair).alias("high"))
-    anchors = anchors.where("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("contested"), (F.col("times") > hot).alias("hot"))
+    found, found_path = materialise(find_contexts(keyed.select("d", "h", "text"), length), "contexts")
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)])
+    contested = (F.col("min_c1") != F.col("max_c1")) | (F.col("min_c2") != F.col("max_c2"))
+    # as a table of its own, so that the join below is between plain shuffles and Spark can split a hot anchor's rows
+    anchors, anchors_path = materialise(anchors.where("times > 1").select("anchor", contested.alias("contested"), (F.col("times") > hot).alias("hot")), "anchors")
     suspects, _ = materialise(found.join(anchors, "anchor"), "suspects")
-    settle(spark)
+    settle(spark, found_path, anchors_path)
     classes = suspects.groupBy("c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("d", "h", "a")).alias("rep"), *[F.first(c).alias(c) for c in ("anchor", "n", "off", "contested", "hot")])
-    classes, _ = materialise(classes.where("times > 1 or contested"), "classes")
+    classes, classes_path = materialise(classes.where("times > 1 or contested"), "classes")
     whole = classes.where("times > 1").select("c1", "c2", F.array(F.lit(0), F.col("n") - 1).alias("ranges"))
 
     # the bytes of one copy of each contested context
@@ -300,13 +302,13 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, hot: int = 20_000, flu
         return tuple(map(list, zip(*out))) if out else ([], [], [], [], [], [], [])
 
     cuts = map_columns(keyed.select("d", "h", "text").join(per_doc, ["d", "h"]).select("text", "cs"), "anchor long, c1 long, c2 long, n int, off int, hot boolean, stretch binary", lambda: cut)
-    cuts, _ = materialise(cuts, "stretches")
+    cuts, cuts_path = materialise(cuts, "stretches")
     settle(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(size // part_bytes) + 1)
     sorted_ranges = repeated_ranges(cuts.where("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor"), length, flush_bytes)
     ranges = sorted_ranges.union(hot_ranges(cuts.where("hot"), length)).union(whole)
     merged, _ = materialise(ranges.groupBy("c1", "c2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
-    settle(spark)
+    settle(spark, classes_path, cuts_path)
     back = suspects.select("c1", "c2", "d", "h", "a").join(merged, ["c1", "c2"]).groupBy("d", "h").agg(F.collect_list(F.struct("a", "ranges")).alias("found"))
     return keyed.join(back, ["d", "h"], "left").select("doc_id", "text", "found")
 
