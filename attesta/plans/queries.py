@@ -625,6 +625,6 @@ def streaming_activity(spark, sf_dir):
     name = f"activity_{abs(hash(sf_dir))}"
     q = streams.activity(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
