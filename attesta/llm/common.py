@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple[list, ...]]]) -> DataFrame:
     """Maps Arrow batches without any per-row serialisation.
 
@@ -30,7 +37,7 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, f = to_arrow_schema(struct), make()
-        for batch in batches:
+        for batch in small_parts(batches):
             out = f(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, arrow, strict=True)], schema=arrow)
 
@@ -43,7 +50,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], using: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in small_parts(batches):
             args = [batch.column(k).to_pylist() for k in (at, more) if k is not None]
             columns = list(batch.columns)
             columns[at] = pa.array(f(*args), pa.string())
@@ -59,7 +66,7 @@ def keep_texts(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in small_parts(batches):
             yield batch.filter(pa.array(f(batch.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -52,12 +52,12 @@ class SubwordClassifier:
         if len(set(labels)) < 2:
             return self
         rng = np.random.default_rng(self.seed)
-        memo = Memo(features)
+        memo = Memo(lambda w: np.array(features(w), np.int32))
         docs = []
         for t in texts:
             words = t.split()
-            again = [REPEATED] * (REPEAT_WEIGHT * sum(map(eq, words, words[1:])))
-            ids, counts = np.unique(np.fromiter((i for part in (*map(memo.__getitem__, words), again) for i in part), np.int64), return_counts=True)
+            again = np.full(REPEAT_WEIGHT * sum(map(eq, words, words[1:])), REPEATED, np.int32)
+            ids, counts = np.unique(np.concatenate([*map(memo.__getitem__, words), again]), return_counts=True)
             docs.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
         table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
         out = np.zeros((DIM, 2), np.float32)
@@ -89,7 +89,7 @@ class SubwordClassifier:
         """A function from a text to the probability of label 1."""
         feature = self.feature
         repeated = float(feature[REPEATED])
-        memo = Memo(lambda w: (float(feature[f := features(w)].sum()), len(f)))
+        memo = Memo(lambda w: (float(feature[f := features(w)].sum()), len(f)), most=150_000)
 
         def score(text: str | None) -> float:
             words = (text or "").split()
