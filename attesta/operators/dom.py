@@ -2,7 +2,7 @@
 
 The tree is built by the standard library's tokenizer with the usual rules for unclosed elements.  Main content is the
 `main`, else `article`, else `[role=main]`, else `body` element, after noise (scripts, menus, footers, forms, cookie
-and advert boxes) is removed; this root rule stands where the reference scores paragraphs.
+and advert boxes) is removed; paragraphs are not scored.
 """
 
 from __future__ import annotations
