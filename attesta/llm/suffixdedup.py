@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise, remove
+from .common import map_columns, materialise, remove, small_parts
 
 LENGTH, PIECE = 400, 32
 PERIOD = 64
@@ -208,11 +208,11 @@ CONTEXTS = "anchor long, c1 long, c2 long, d long, h long, a int, n int, off int
 NO_ID = -(1 << 63)
 
 
-def find_contexts(keyed: DataFrame, length: int, batch_bytes: int = 4 << 20) -> DataFrame:
+def find_contexts(keyed: DataFrame, length: int, batch_bytes: int = 2 << 20) -> DataFrame:
     schema = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in (x.split() for x in CONTEXTS.split(", "))])
 
     def run(batches):
-        for batch in batches:
+        for batch in small_parts(batches):
             ids, hashes, texts = (c.to_pylist() for c in batch.columns)
             low = 0
             while low < len(texts):
@@ -273,7 +273,7 @@ def settle(spark, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH, hot: int = 20_000, flush_bytes: int = 8 << 20, part_bytes: int = 24 << 20) -> DataFrame:
+def removed_ranges(docs: DataFrame, length: int = LENGTH, hot: int = 10_000, flush_bytes: int = 4 << 20, part_bytes: int = 24 << 20) -> DataFrame:
     """docs' doc_id and text, with `found` array<struct<a, ranges>>: window starts (from a on) whose strings occur elsewhere."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"))
