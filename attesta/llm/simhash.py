@@ -29,18 +29,23 @@ from .common import forget, map_columns, materialise, remove
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every run of `shingle` words; a shorter text is one run, a text without words none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hashed(joined, SEED)
+        return np.array([hashed(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - shingle].tolist()]
     stops = (ends[shingle - 1 :] - 1).tolist()
-    n = len(starts)
-    hashes = np.fromiter((hashed(joined[s:e], SEED) for s, e in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((hashed(joined[s:e], SEED) for s, e in zip(starts, stops)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -195,13 +200,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_si
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with one document of every component: the one with the least doc_id.
+    """docs, all columns, with one document of every component of near_duplicates."""
+    return least_of_each(docs, near_duplicates(docs, **options))
+
+
+def least_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs, all columns, with one document of every component: the one with the least doc_id; groups: doc_id, component_id.
 
     The ids that go are fewer than those that stay, so it is they that meet the documents again; Spark broadcasts them
     while they are small and shuffles beyond that.  Documents without an id cannot be named, and stay.  Of repeated rows
     of one id one stays.
     """
-    groups = near_duplicates(docs, **options).where("doc_id is not null")
+    groups = groups.where("doc_id is not null")
     gone, _ = materialise(groups.where("doc_id != component_id").select("doc_id").distinct(), "copies")
     again, _ = materialise(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
     out = docs.join(gone.alias("__gone"), docs["doc_id"] == F.col("__gone.doc_id"), "left_anti")

@@ -1,6 +1,7 @@
 """run() against the same stages written plainly, and the stages' contract."""
 
 import hashlib
+import random
 import struct
 
 import public_tokenizers
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import plain_components, plain_fingerprint, plain_lines
 
 import corpus_pipeline
-from attesta.llm import bpe, decontam, quality
+from attesta.llm import bpe, decontam, quality, shinglesim
 from attesta.llm.common import held_out
 
 
@@ -44,3 +45,31 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, data, tmp_path):
             out = stage(spark, docs, data)
             assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
             out.count()
+
+
+def plain_pairs(texts):
+    """Pairs with a Jaccard similarity of five-word shingles of at least 0.8, by comparing all."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    return [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def test_copies_equal_brute_force_jaccard(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rng, rows = random.Random(4), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    base = [w for _, t in rows for w in t.split()][:300]
+    for n, edits in enumerate([*range(1, 16)] * 4):  # every edit touches five of about 296 shingles
+        copy = list(base)
+        for k in rng.sample(range(len(copy)), edits):
+            copy[k] = f"edit{n}x{k}"
+        rows.append((10_000 + n, " ".join(copy)))
+    rows += [(20_000, None), (20_001, ""), (20_002, "one two"), (20_003, "One  two")]
+    root = list(range(len(rows)))
+    for i, j in plain_pairs([t for _, t in rows]):
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    want = {i: rows[root[k]][0] for k, (i, _) in enumerate(rows)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shinglesim.near_duplicates(frame).collect()} == want
+    kept = {r.doc_id for r in corpus_pipeline.by_copies(spark, frame, data).collect()}
+    assert kept == {i for i, c in want.items() if i == c}
