@@ -49,7 +49,7 @@ OTHER = {
     "mac": re.compile(r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
-SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;!]{8,200})", re.I)
+SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;!]{8,}+)", re.I)
 PERSON = re.compile(r"\b([A-Z][a-z]{1,20}) ([A-Z][a-z]{1,20})\b")
 
 # Gazetteers.

@@ -234,6 +234,13 @@ def test_added_spans(spark):
     assert found[3] == "local:5:17"
 
 
+def test_secrets_are_whole(spark):
+    jwt = "eyJ" + "aB3." * 150
+    assert pii.extra_candidates(f"token: {jwt} end", []) == [("secret", 7, 7 + len(jwt))]
+    found = pii.find(spark.createDataFrame([(1, f"token: {jwt} end")] * 40, "doc_id long, text string")).first()
+    assert found.spans == f"secret:7:{7 + len(jwt)}"
+
+
 def test_reliabilities_follow_agreement():
     row = lambda v: ("secret", v, (5, 1, 3))
     m = pii.SpanModel({row((1, 1, 1, -1)): 500, row((0, -1, -1, 0)): 500, row((1, -1, -1, 0)): 40})
