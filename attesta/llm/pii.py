@@ -11,6 +11,8 @@ The base kinds (email, ip, card, phone) are exact rules and always stay.  The cl
 (iban, local phone, mac, person, secret, ssn) that overlap no base span; they are listed after the base ones, by kind in
 alphabetical order.  Offsets are code points, the end exclusive.
 
+Every two capitalised words are a person candidate.  Where two share a word, the more probable one is reported.
+
 Null and empty texts have no spans.  Texts are read whole in time linear in their length.  Repeated rows give equal
 results and count as often as they occur; other columns are ignored.  No candidates, or no candidates but base ones,
 leave the classifier at its prior, which adds nothing.
@@ -50,7 +52,7 @@ OTHER = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
 SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;!]{8,}+)", re.I)
-PERSON = re.compile(r"\b([A-Z][a-z]{1,20}) ([A-Z][a-z]{1,20})\b")
+CAPITALISED = re.compile(r"[^\W\d_a-z](?:[^\W\d_A-Z]|[\u0300-\u036f])++(?!\w)")
 
 # Gazetteers.
 GIVEN_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Karen Nancy Hans Peter Klaus Anna Maria Pierre Jean Marie Claire Juan Carlos Carmen Pedro Sofia".split())
@@ -70,6 +72,7 @@ FOR = {
 }
 FOR = {k: frozenset(v.split()) for k, v in FOR.items()}
 AGAINST = frozenset("version isbn page chapter section figure order invoice part model item".split())
+NO_NAMES = FOR["person"] | AGAINST | frozenset(w for k in ("email", "phone", "iban") for w in FOR[k])
 WORD = re.compile(r"[A-Za-z]+")
 
 LABELERS = ("form", "gazetteer", "for", "against")
@@ -108,14 +111,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def pairs(text: str) -> list[tuple[int, int]]:
+    """Every two capitalised words with a blank between; pairs may share a word."""
+    out, start, end = [], -1, -1
+    for m in CAPITALISED.finditer(text):
+        s, e = m.span()
+        if not (text[s].isupper() and text[s + 1 : e].islower()) or s and (text[s - 1].isalnum() or text[s - 1] == "_"):
+            continue
+        if s == end + 1 and start >= 0 and text[end] == " ":
+            out.append((start, e))
+        start, end = s, e
+    return out
+
+
 def extra_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     found = []
     if DIGIT.search(text):
         found = [(kind, *m.span()) for kind, rule in OTHER.items() for m in rule.finditer(text)]
     if "=" in text or ":" in text:
         found += [("secret", *m.span(1)) for m in SECRET.finditer(text)]
-    if not GIVEN_NAMES.isdisjoint(text.split()):
-        found += [("person", *m.span()) for m in PERSON.finditer(text) if m[1] in GIVEN_NAMES]
+    found += [("person", *s) for s in pairs(text)]
     if not found:
         return []
     taken = sorted((s, e) for _, s, e in base)
@@ -139,20 +154,25 @@ def well_formed(kind: str, value: str) -> bool:
         return value.strip("(")[0] in "23456789"
     if kind == "secret":
         return entropy_level(value) >= 2 and len(set(map(str.isdigit, value))) == 2
+    if kind == "person":
+        return NO_NAMES.isdisjoint(value.lower().split(" "))
     return True
 
 
 def votes(kind: str, value: str, before: list[str]) -> tuple[int, ...]:
     """1 for, 0 against, -1 nothing, in the order of LABELERS."""
     form = int(well_formed(kind, value))
-    gazetteer = -1
+    gazetteer, context = -1, 1 if not FOR[kind].isdisjoint(before) else -1
     if kind == "email":
         gazetteer = int(value.rsplit(".", 1)[-1].lower() in ENDINGS)
     elif kind == "person":
-        gazetteer = int(value.split(" ")[1] not in GIVEN_NAMES)
+        first, last = value.split(" ")
+        if first in GIVEN_NAMES:
+            gazetteer = int(last not in GIVEN_NAMES)
+        elif context < 0:  # a short list says little against a name that the context announces
+            gazetteer = 0
     elif kind == "secret" and value.startswith(KEY_PREFIXES):
         gazetteer = 1
-    context = 1 if not FOR[kind].isdisjoint(before) else -1
     return form, gazetteer, context, 0 if not AGAINST.isdisjoint(before) else -1
 
 
@@ -260,14 +280,19 @@ def spans(text: str | None, model: SpanModel, threshold: float = THRESHOLD, memo
     """Base spans and added spans of a text."""
     if not text:
         return [], []
-    base, added = base_spans(text), []
+    base, added, best = base_spans(text), [], 0.0
     memo = {} if memo is None else memo
     for c in extra_candidates(text, base):
         row = describe(text, c)
         if (p := memo.get(row)) is None:
             p = memo[row] = model.probability(row)
-        if p >= threshold and not (added and added[-1][0] == c[0] and added[-1][2] > c[1]):
+        if p < threshold:
+            continue
+        if not (added and added[-1][0] == c[0] and added[-1][2] > c[1]):
             added.append(c)
+            best = p
+        elif p > best:
+            added[-1], best = c, p
     return base, added
 
 

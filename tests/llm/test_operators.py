@@ -241,6 +241,15 @@ def test_secrets_are_whole(spark):
     assert found.spans == f"secret:7:{7 + len(jwt)}"
 
 
+def test_persons_of_every_surrounding():
+    names = {"(James Smith)": "James Smith", "Contact James Smith": "James Smith", "Mr James Smith": "James Smith", "signed by Hans Müller": "Hans Müller", "Dear Tariq Aziz,": "Tariq Aziz", "it was Mr Ömer Şahin": "Ömer Şahin", "by Anna Mu\u0308ller": "Anna Mu\u0308ller"}
+    plain = ["the New York office", "Der Hund und Die Katze", "Grand Hotel in town", "McDonald Farm2 XJames Smith"]
+    texts = [*names, *plain]
+    counts = Counter(pii.describe(t, c) for t in texts for c in pii.extra_candidates(t, []))
+    model = pii.SpanModel({k: 40 * n for k, n in counts.items()})
+    assert {t: [t[s:e] for _, s, e in pii.spans(t, model)[1]] for t in texts} == {t: [names[t]] if t in names else [] for t in texts}
+
+
 def test_reliabilities_follow_agreement():
     row = lambda v: ("secret", v, (5, 1, 3))
     m = pii.SpanModel({row((1, 1, 1, -1)): 500, row((0, -1, -1, 0)): 500, row((1, -1, -1, 0)): 40})
