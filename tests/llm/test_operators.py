@@ -265,28 +265,33 @@ def test_pii_edge_cases(odd, empty):
 # --- suffix-array dedup
 
 
-def plain_removed(texts, length=400):
-    data, seen = [(t or "").encode() for t in texts], Counter()
-    for b in data:
+def plain_removed(texts, length=400, passage=256):
+    data, seen, owners = [(t or "").encode() for t in texts], Counter(), {}
+    for i, b in enumerate(data):
         seen.update(b[k : k + length] for k in range(len(b) - length + 1))
+        for k in range(len(b) - passage + 1):
+            owners.setdefault(b[k : k + passage], set()).add(texts[i])
     out = []
     for b in data:
-        gone = bytearray(len(b))
-        for k in range(len(b) - length + 1):
-            if seen[b[k : k + length]] > 1:
+        gone, shared = bytearray(len(b)), bytearray(len(b))
+        for k in range(len(b) - passage + 1):
+            if seen[b[k : k + length]] > 1 and k + length <= len(b):
                 gone[k : k + length] = b"\1" * length
+            if len(owners[b[k : k + passage]]) > 1:
+                shared[k : k + passage] = b"\1" * passage
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out.append((len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()))
+        passages = sum(len(b[m.start() : m.end()].split()) > 50 for m in re.finditer(b"\1+", shared))
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest(), passages))
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 3}, {"flush_bytes": 1}])
+@pytest.mark.parametrize("options", [{}, {"most": 3}, {"most": 20}, {"flush_bytes": 1}])
 def test_repeated_strings(spark, options):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(300)]
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
     passages, docs = [prose(rng.randint(60, 250)) for _ in range(6)], []
-    for _ in range(70):
+    for n in range(70):
         k, p = rng.random(), rng.choice(passages)
         if k < 0.5:
             docs.append(prose(rng.randint(0, 60)) + p * (k > 0.1) + prose(rng.randint(0, 60)))
@@ -297,11 +302,33 @@ def test_repeated_strings(spark, options):
             w[rng.randrange(len(w))] = "X"
             docs.append(" ".join(w))
         else:
-            docs.append(p)
-    docs += [None, "", "x" * 399, "y" * 400, "y" * 400, "z" * 401]
+            docs.append(p + f" {n}")
+    docs += [None, "", "x" * 399, "y" * 400, "y" * 400, "z" * 401, passages[0][:300], "\0" * 300, "\0" * 420]
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(docs)], "doc_id long, text string, h string, d int")
     got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.digest(df, **options).collect()}
-    assert [got[i] for i in range(len(docs))] == plain_removed(docs)
+    want = plain_removed(docs)
+    assert [got[i][:4] for i in range(len(docs))] == [w[:4] for w in want]
+    once = Counter(docs)  # equal texts of different ids are different documents
+    assert [got[i][4] for i in range(len(docs)) if once[docs[i]] == 1] == [w[4] for w, t in zip(want, docs) if once[t] == 1]
+
+
+def test_suffixes_are_in_order():
+    """The whole order equals a plain sort of the strings, over stretches whose ties meet at different residues too."""
+    rng = random.Random(3)
+    for letters in (b"a", b"ab ", b"abcdefgh "):
+        any_of = lambda n: bytes(rng.choice(letters) for _ in range(n))  # noqa: B023, E731
+        base, rows = any_of(900), []
+        for _ in range(40):
+            text = bytearray(base if rng.random() < 0.7 else (any_of(7) * 200)[:900])
+            if rng.random() < 0.6:
+                text[rng.randrange(900)] = ord("X")
+            size = (count := rng.randint(1, 113)) + rng.choice([255, 300, 399])
+            at = rng.randint(0, 900 - size)
+            rows.append((bytes(text[at : at + size]), rng.randint(0, 200), count))
+        suffixes = suffixdedup.BlockwiseSuffixes(*zip(*rows))
+        strings = [suffixes.text[s : s + 400].tobytes() for s in suffixes.starts]
+        order = [i for numbers, _, _ in suffixes.buckets() for i in numbers.tolist()]
+        assert sorted(order) == list(range(len(strings))) and [strings[i] for i in order] == sorted(strings)
 
 
 def test_difference_cover():
@@ -310,7 +337,7 @@ def test_difference_cover():
 
 
 def test_suffix_edge_cases(odd, empty):
-    assert sorted(tuple(r)[1:] for r in suffixdedup.digest(odd).collect()) == sorted(plain_removed([*TEXTS, TEXTS[5]]))
+    assert sorted(tuple(r)[1:5] for r in suffixdedup.digest(odd).collect()) == sorted(r[:4] for r in plain_removed([*TEXTS, TEXTS[5]]))
     assert suffixdedup.digest(empty).count() == 0
 
 
