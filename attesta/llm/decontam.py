@@ -1,36 +1,43 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts are sequences of lower-cased words.  The CGK random walk reads a sequence and writes three symbols for each of
-its own, staying at or moving past a symbol by a shared random bit for (step, symbol); a small edit distance becomes
-a small Hamming distance.  Each of `repeats` independent walks samples a few output positions; an item-sized window
-whose sampled symbols all equal an item's in some walk is a candidate.  The number of walks is planned on edited copies of the
-items so that pairs at the distance limit are found with the target recall.  Candidates are verified by the exact
-word edit distance, with free ends in the document.
-
-Windows are taken wherever a document has a run of words that any text within the limit must share with the item
+Texts are sequences of lower-cased words; in scripts that write without blanks every letter is a word.  The CGK random
+walk reads a sequence and writes two symbols on average for each of its own, staying at or moving past a symbol by a shared
+random bit for (step, symbol); a small edit distance becomes a small Hamming distance.  Every walk is sampled a few times
+(before the steps where most walks are past the end, and equal for no reason), and each sample of a few output positions is a
+hash table of the items of one length: an item-sized window of a document looks its own sample up in each table, and the
+items found there are its candidates.  Walks are added until edited copies of the
+items, at the distance limit and read through the same windows, are found with the target recall; a target that
+cannot be reached raises.  Candidates are verified by the exact word edit distance, with free ends in the document, and
+where that is above the limit by the exact edit distance of letters, since a misspelt word is not another word.
+
+Windows are taken wherever a document has a run of words that any text within the word limit must share with an item
 (after e edits of an item of m words at least m - q + 1 - q * e of its q-word runs are whole; q is the largest of 3, 2, 1 for which this
-is at least one), aligned to that run.  A document is read once; nothing is shuffled.
+is at least one), aligned to that run.  This loses no text within the word limit.  A document is read once; nothing is shuffled.
 
-Only the items are broadcast, in blocks of at most `block_chars` letters; more items mean more passes over the
-documents.  Null or empty texts and items without words match nothing.  An item of under five words must occur
-exactly.  Equal item texts are reported under each id, repeated rows each for themselves.
+Only the items are broadcast, in blocks of at most `block_chars` letters, one block at a time; more items mean more passes
+over the documents.  Null or empty texts and items without words match nothing.  An item of under five words must occur
+exactly, or with at most a fifth of its letters edited.  Of equally near matches the one with the earliest start and end
+is reported.  Equal item texts are reported under each id, repeated rows each for themselves.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep_texts, map_columns
+from .common import forget, keep_texts, map_columns, materialise
 
-WORD = re.compile(r"\w+")
-#: Output symbols for each word of the item, and the letters sampled by a walk.
-STRETCH, SAMPLED = 3, 3
+#: Scripts without blanks between words: Thai to Burmese, Khmer, kana and Chinese characters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+#: Steps for each word of the item, samples of each walk, and the symbols in a sample.
+STRETCH, TABLES, SAMPLED = 2, 4, 3
+MOST_WALKS = 256
+MIX = np.uint64(0x94D049BB133111EB)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,153 +66,234 @@ def infix_distance(item: list, region: list, limit: int) -> tuple[int, int, int]
     return best, starts[at], at
 
 
+def infix_letters(item: str, region: str, limit: int, anchored: bool = False) -> tuple[int, int]:
+    """Least letter edits that turn item into a stretch of region (anchored: into a beginning), and that stretch's end;
+    one bit of a number for each letter of the item."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(item):
+        masks[c] = masks.get(c, 0) | 1 << k
+    m = len(item)
+    whole, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = whole, 0, m
+    best, end = (m, 0) if m <= limit or anchored else (limit + 1, 0)
+    for j, c in enumerate(region, 1):
+        eq = masks.get(c, 0)
+        vertical = eq | down
+        eq = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(eq | up) & whole, up & eq
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | anchored) & whole, minus << 1 & whole
+        up, down = minus | ~(vertical | plus) & whole, plus & vertical
+        if score < best:
+            best, end = score, j
+    return best, end
+
+
+def pack(codes: np.ndarray, q: int) -> np.ndarray:
+    """A number for each run of q codes; 0 for runs with an unknown word."""
+    n = len(codes) - q + 1
+    out, known = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(q):
+        part = codes[k : k + n]
+        out = mixed(out, part)
+        known &= part > 0
+    return np.where(known, out | np.uint64(1), np.uint64(0))
+
+
+def mixed(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    key = (key ^ part.astype(np.uint64)) * MIX
+    return key ^ key >> np.uint64(31)
+
+
+def expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number from low[i] up to high[i], with its i."""
+    n = high - low
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[of]
+
+
 class EditIndex:
     """Items under CGK embeddings; finds their near copies in batches of documents."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = 0.97, most_repeats: int = 64, seed: int = 11):
-        self.rng = np.random.default_rng(seed)
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = 0.97, plan_items: int = 128, seed: int = 11):
+        self.similarity, self.seed = similarity, seed
         self.items = [(i, w) for i, t in items if (w := words_of(t))]
         self.words: dict[str, int] = {}
         for _, w in self.items:
             for x in w:
                 self.words.setdefault(x, len(self.words) + 1)
-        if len(self.words) >= 1 << 20:
-            raise ValueError("a block of items has too many different words")
         self.codes = [np.array([self.words[x] for x in w], np.int64) for _, w in self.items]
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
-        self.longest = max(map(len, self.codes), default=1)
-        steps = STRETCH * self.longest
+        self.letters = [" ".join(w) for _, w in self.items]
+        self.letter_edits = [int((1 - similarity) * len(t) + 1e-9) for t in self.letters]
+        self.by_length: dict[int, np.ndarray] = {}
+        for m in sorted({len(c) for c in self.codes}):
+            self.by_length[m] = np.array([k for k, c in enumerate(self.codes) if len(c) == m])
+        self.steps = STRETCH * max(self.by_length, default=1)
         #: The walk's shared random bit for (walk, step, symbol) is the top bit of a product of these.
-        self.symbols = self.rng.integers(1, 1 << 63, len(self.words) + 1, np.uint64) | np.uint64(1)
-        self.factors = self.rng.integers(1, 1 << 63, (most_repeats, steps), np.uint64) << np.uint64(1) | np.uint64(1)
-        self.shifts = self.rng.integers(0, 1 << 63, (most_repeats, steps), np.uint64)
-        self.sampled = {m: np.sort(self.rng.integers(0, STRETCH * m, (most_repeats, SAMPLED)), axis=1) for m in {len(c) for c in self.codes}}
-        self.repeats = self._plan(recall, most_repeats)
-        self.signatures = {}
-        for m in self.sampled:
-            own = [k for k, c in enumerate(self.codes) if len(c) == m]
-            self.signatures[m] = dict(zip(own, self.embed(np.stack([self.codes[k] for k in own]), m, self.repeats)))
+        self.symbols = np.random.default_rng(seed).integers(1, 1 << 63, len(self.words) + 1, np.uint64) | np.uint64(1)
+        self.walks: list[tuple] = []
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {m: [] for m in self.by_length}
         self._seeds()
-
-    def embed(self, windows: np.ndarray, m: int, repeats: int) -> np.ndarray:
-        """For windows of m symbols: the sampled symbols of each walk in one number, windows by repeats."""
-        n = len(windows)
+        self._plan(recall, plan_items)
+
+    def _walk(self) -> None:
+        """One more walk: its random bits, sampled positions by length, and a table for each sample."""
+        rng = np.random.default_rng([self.seed, len(self.walks)])
+        factors = rng.integers(0, 1 << 63, self.steps, np.uint64) << np.uint64(1) | np.uint64(1)
+        shifts = rng.integers(0, 1 << 63, self.steps, np.uint64)
+        sampled = {m: np.sort(rng.integers(0, STRETCH * m, (TABLES, SAMPLED)), axis=1) for m in self.by_length}
+        self.walks.append((factors, shifts, sampled))
+        for m, own in self.by_length.items():
+            for keys in self.embed(np.stack([self.codes[k] for k in own]), m, len(self.walks) - 1):
+                order = np.argsort(keys, kind="stable")
+                self.tables[m].append((keys[order], own[order]))
+
+    def embed(self, windows: np.ndarray, m: int, walk: int) -> np.ndarray:
+        """For windows of m symbols: a number for each sample of the walk, tables by windows."""
+        factors, shifts, sampled = self.walks[walk]
+        n, wanted = len(windows), sampled[m]
         padded = np.concatenate([windows, np.zeros((n, 1), np.int64)], axis=1)
-        out, rows = np.zeros((n, repeats), np.int64), np.arange(n)
-        for r in range(repeats):
-            at, wanted = np.zeros(n, np.int64), self.sampled[m][r]
-            for step in range(int(wanted[-1]) + 1):
-                symbol = padded[rows, at]
-                for _ in range(int((wanted == step).sum())):
-                    out[:, r] = (out[:, r] << 20) | symbol
-                moves = ((self.symbols[symbol] ^ self.shifts[r, step]) * self.factors[r, step]) >> np.uint64(63)
-                at = np.minimum(at + moves.astype(np.int64), m)
+        out, rows, at = np.zeros((TABLES, n), np.uint64), np.arange(n), np.zeros(n, np.int64)
+        for step in range(int(wanted.max()) + 1):
+            symbol = padded[rows, at]
+            for table, times in enumerate((wanted == step).sum(axis=1)):
+                for _ in range(times):
+                    out[table] = mixed(out[table], symbol)
+            moves = ((self.symbols[symbol] ^ shifts[step]) * factors[step]) >> np.uint64(63)
+            at = np.minimum(at + moves.astype(np.int64), m)
         return out
 
-    def _plan(self, recall: float, most: int) -> int:
-        """The number of walks that finds copies edited up to the limit with the target recall."""
-        chosen = self.rng.permutation(len(self.items))[:64]
-        hits = []
-        for k in chosen:
-            code, m = self.codes[k], len(self.codes[k])
-            copy = list(code)
-            for _ in range(self.edits[k]):
-                at, kind = int(self.rng.integers(0, max(1, len(copy)))), self.rng.integers(0, 3)
-                if kind == 0 or not copy:
-                    copy.insert(at, 0)
-                elif kind == 1:
-                    copy[at] = 0
-                else:
-                    del copy[at]
-            window = np.array((copy + [0] * m)[:m], np.int64)
-            both = self.embed(np.stack([code, window]), m, most)
-            hits.append(both[0] == both[1])
-        if not hits:
-            return 1
-        found = np.logical_or.accumulate(np.array(hits), axis=1).mean(axis=0)
-        return int(np.argmax(found >= recall)) + 1 if (found >= recall).any() else most
-
     def _seeds(self) -> None:
-        """Runs of q words of every item, in one number each, sorted, with the items and offsets that have them."""
-        self.seeds: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-        runs: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for k, code in enumerate(self.codes):
-            m, e = len(code), self.edits[k]
+        """Runs of q words of all items in order, and by run the lengths of its items and its places in them."""
+        self.seeds = []
+        runs: dict[int, dict[int, set[tuple[int, int]]]] = {}
+        for code, e in zip(self.codes, self.edits):
+            m = len(code)
             q = next(q for q in (3, 2, 1) if m - q + 1 - q * e >= 1)
-            for at, run in enumerate(pack(code, q)):
-                runs.setdefault(q, {}).setdefault(int(run), []).append((k, at))
-        for q, found in runs.items():
-            self.seeds[q] = np.sort(np.fromiter(found, np.int64, len(found))), found
-
-    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, item number, edits, first word, word after the last): the best match for each text and item."""
+            for at, run in enumerate(pack(code, q).tolist()):
+                runs.setdefault(q, {}).setdefault(run, set()).add((m, at))
+        for q, found in sorted(runs.items()):
+            known = sorted(found)
+            places = np.array([x for run in known for x in sorted(found[run])], np.int64)
+            self.seeds.append((q, np.array(known, np.uint64), np.cumsum([0, *(len(found[run]) for run in known)]), places))
+
+    def _plan(self, recall: float, plan_items: int) -> None:
+        """Adds walks until copies edited up to the limit, amid other words, are found with the target recall."""
+        if not self.items:
+            return
+        rng, copies = np.random.default_rng([self.seed, 1 << 20]), []
+        chosen = rng.permutation(len(self.items))[:plan_items]
+        for k in chosen.tolist():
+            copy = list(self.codes[k])
+            for _ in range(self.edits[k]):
+                at, kind = int(rng.integers(0, max(1, len(copy)))), int(rng.integers(0, 3))  # insert, change, delete
+                copy[at : at + (kind > 0)] = [0] * int(kind < 2)
+            copies.append(np.array([0, 0, *copy, 0, 0], np.int64))
+        ends = np.cumsum([len(c) for c in copies])
+        stream, found = np.concatenate(copies), np.zeros(len(copies), bool)
+        doc, m, start = self.windows(stream, ends)
+        parts = [(length, doc[m == length], self.cut(stream, ends, doc[m == length], start[m == length], length)) for length in np.unique(m).tolist()]
+        while found.mean() < recall:
+            if len(self.walks) == MOST_WALKS:
+                raise ValueError(f"{MOST_WALKS} walks find {found.mean():.3f} of the edited items, not {recall}")
+            self._walk()
+            for length, docs, windows in parts:
+                window, item = self.lookup(windows, length, [len(self.walks) - 1])
+                mine = chosen[docs[window]]
+                found[docs[window[mine == item]]] = True
+
+    def windows(self, stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, length and first word (in the stream) of the windows to look at, without repeats."""
+        found = []
+        for q, known, edges, places in self.seeds:
+            if len(stream) < q:
+                continue
+            runs = pack(stream, q)
+            place = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+            p = np.flatnonzero(known[place] == runs)
+            doc = np.searchsorted(ends, p, side="right")
+            p, doc = (x[p + q <= ends[doc]] for x in (p, doc))
+            of, at = expand(edges[place[p]], edges[place[p] + 1])
+            found.append((doc[of], places[at, 0], p[of] - places[at, 1]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        doc, m, start = map(np.concatenate, zip(*found))
+        order = np.lexsort((start, m, doc))
+        doc, m, start = doc[order], m[order], start[order]
+        new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(m) != 0) | (np.diff(start) != 0)])[: len(doc)]
+        return doc[new], m[new], start[new]
+
+    @staticmethod
+    def cut(stream, ends, doc, start, m) -> np.ndarray:
+        """The symbols of windows; 0 outside their text."""
+        first = np.concatenate([[0], ends])[doc]
+        at = start[:, None] + np.arange(m)
+        return np.where((at >= first[:, None]) & (at < ends[doc][:, None]), stream[np.clip(at, 0, len(stream) - 1)], 0)
+
+    def lookup(self, windows: np.ndarray, m: int, walks) -> tuple[np.ndarray, np.ndarray]:
+        """Window number and item number of the candidates, without repeats."""
+        found = [np.zeros(0, np.int64)]
+        for walk in walks:
+            for keys, (known, items) in zip(self.embed(windows, m, walk), self.tables[m][walk * TABLES :]):
+                of, at = expand(np.searchsorted(known, keys), np.searchsorted(known, keys, side="right"))
+                found.append(of * len(self.items) + items[at])
+        both = np.unique(np.concatenate(found))
+        return both // len(self.items), both % len(self.items)
+
+    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, int, float, int, int]]:
+        """(text number, item number, unit, edits, similarity, first word, word after the last): the best match for each text and item."""
         get = self.words.get
         docs = [words_of(t) for t in texts]
         ends = np.cumsum([len(d) for d in docs])
         if not self.items or not len(ends) or not ends[-1]:
             return
         stream = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, int(ends[-1]))
-        firsts = ends - np.array([len(d) for d in docs])
-        windows: dict[int, set[tuple[int, int, int]]] = {}
-        for q, (known, at_items) in self.seeds.items():
-            if len(stream) < q:
-                continue
-            runs = pack(stream, q)
-            place = np.searchsorted(known, runs)
-            place[place == len(known)] = 0
-            for p in np.flatnonzero(known[place] == runs):
-                d = int(np.searchsorted(ends, p, side="right"))
-                if p + q > ends[d]:
-                    continue
-                for k, offset in at_items[int(runs[p])]:
-                    windows.setdefault(len(self.codes[k]), set()).add((d, k, int(p) - offset))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for m, wanted in windows.items():
-            rows = sorted(wanted)
-            for part in range(0, len(rows), 4096):
-                some = rows[part : part + 4096]
-                d = np.array([r[0] for r in some])
-                at = np.array([r[2] for r in some])[:, None] + np.arange(m)
-                inside = (at >= firsts[d][:, None]) & (at < ends[d][:, None])
-                symbols = np.where(inside, stream[np.clip(at, 0, len(stream) - 1)], 0)
-                mine = np.stack([self.signatures[m][r[1]] for r in some])
-                for i in np.flatnonzero((self.embed(symbols, m, self.repeats) == mine).any(axis=1)):
-                    doc, k, start = some[i]
-                    e, low, high = self.edits[k], int(firsts[doc]), int(ends[doc])
-                    a, b = max(low, start - e), min(high, start + m + e)
-                    if 0 <= start - low and (symbols[i] == self.codes[k]).all():
-                        found = 0, start - low, start - low + m
-                    else:
-                        cost, s, t = infix_distance(self.codes[k].tolist(), stream[a:b].tolist(), e)
-                        if cost > e:
-                            continue
-                        found = cost, a + s - low, a + t - low
-                    if found < best.get((doc, k), (1 << 60,)):
+        all_docs, lengths, starts = self.windows(stream, ends)
+        best: dict[tuple[int, int], tuple] = {}
+        for m in np.unique(lengths).tolist():
+            of_length = np.flatnonzero(lengths == m)
+            for part in range(0, len(of_length), 8192):
+                some = of_length[part : part + 8192]
+                windows = self.cut(stream, ends, all_docs[some], starts[some], m)
+                for i, k in zip(*(x.tolist() for x in self.lookup(windows, m, range(len(self.walks))))):
+                    doc = int(all_docs[some[i]])
+                    if (found := self.verify(k, windows[i], docs[doc], stream[ends[doc] - len(docs[doc]) : ends[doc]], int(starts[some[i]] - ends[doc]) + len(docs[doc]))) and found < best.get((doc, k), (2.0,)):
                         best[doc, k] = found
-        for (doc, k), found in sorted(best.items()):
-            yield doc, k, *found
-
-
-def pack(codes: np.ndarray, q: int) -> np.ndarray:
-    """Each run of q codes in one number; runs with an unknown word become -1."""
-    n = len(codes) - q + 1
-    out, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for k in range(q):
-        part = codes[k : k + n]
-        out, known = (out << 20) | part, known & (part > 0)
-    return np.where(known, out, -1)
-
-
-def item_blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The items' ids and texts, in blocks that are small enough to broadcast; one block at a time is taken from Spark."""
-    blocks, size = [[]], 0
+        for (doc, k), (distance, s, t, unit, edits) in sorted(best.items()):
+            yield doc, k, unit, edits, 1 - distance, s, t
+
+    def verify(self, k: int, window: np.ndarray, words: list[str], codes: np.ndarray, start: int) -> tuple[float, int, int, str, int] | None:
+        """Distance, stretch, unit and edits of item k near a window, or None above both limits."""
+        m, e = len(self.codes[k]), self.edits[k]
+        if start >= 0 and (window == self.codes[k]).all():
+            return 0.0, start, start + m, "word", 0
+        low, high = max(0, start - e), min(len(words), start + m + e)
+        cost, s, t = infix_distance(self.codes[k].tolist(), codes[low:high].tolist(), e)
+        if cost <= e:
+            return cost / m, low + s, low + t, "word", cost
+        region, limit = " ".join(words[low:high]), self.letter_edits[k]
+        cost, end = infix_letters(self.letters[k], region, limit)
+        if cost > limit:
+            return None
+        _, size = infix_letters(self.letters[k][::-1], region[:end][::-1], limit, anchored=True)
+        return cost / len(self.letters[k]), low + region.count(" ", 0, end - size), low + region.count(" ", 0, end) + 1, "letter", cost
+
+
+def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items' ids and texts, in blocks that are small enough to broadcast, one at a time."""
+    block, size = [], 0
     for r in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        if blocks[-1] and size + len(r[1]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r[0], r[1]))
+        if block and size + len(r[1]) > block_chars:
+            yield in_order(block)
+            block, size = [], 0
+        block.append((r[0], r[1]))
         size += len(r[1])
-    return [sorted(b, key=lambda r: (r[0] is None, r[0] or 0, r[1])) for b in blocks]
+    yield in_order(block)
+
+
+def in_order(block: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    return sorted(block, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def parts_of(texts: list, most: int):
@@ -220,13 +308,16 @@ def parts_of(texts: list, most: int):
         low = high
 
 
+SCHEMA = "doc_id long, item_id long, unit string, edits int, similarity double, start_word int, end_word int"
+
+
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.97, block_chars: int = 4_000_000, part_chars: int = 2_400_000) -> DataFrame:
-    """doc_id, item_id, edits, similarity, start_word, end_word: each document's best match with each item within the limit."""
-    schema = "doc_id long, item_id long, edits int, similarity double, start_word int, end_word int"
+    """doc_id, item_id, unit, edits, similarity, start_word, end_word: each document's best match with each item within a limit.
 
-    def scan(block):
-        index = docs.sparkSession.sparkContext.broadcast(EditIndex(block, similarity, recall))
+    Where the items are more than one block, each block's matches are written before the next block is sent out.
+    """
 
+    def scan(index):
         def make():
             forget()
             own = index.value
@@ -234,23 +325,30 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: fl
             def run(keys, texts):
                 out = []
                 for low, high in parts_of(texts, part_chars):
-                    for d, k, e, s, t in own.search(texts[low:high]):
-                        out.append((keys[low + d], own.items[k][0], e, 1 - e / len(own.codes[k]), s, t))
-                return tuple(map(list, zip(*out))) if out else ([], [], [], [], [], [])
+                    out += [(keys[low + d], own.items[k][0], *found) for d, k, *found in own.search(texts[low:high])]
+                return tuple(map(list, zip(*out))) if out else ([], [], [], [], [], [], [])
 
             return run
 
-        return map_columns(docs.select("doc_id", "text"), schema, make)
+        return map_columns(docs.select("doc_id", "text"), SCHEMA, make)
 
-    return reduce(DataFrame.union, map(scan, item_blocks(items, block_chars)))
+    done, waiting = [], None
+    for block in item_blocks(items, block_chars):
+        if waiting:
+            done.append(materialise(scan(waiting), "leaks")[0])
+            waiting.destroy()
+        waiting = docs.sparkSession.sparkContext.broadcast(EditIndex(block, similarity, recall))
+    out = scan(waiting)
+    for part in done:
+        out = out.union(part)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.97, block_chars: int = 4_000_000, part_chars: int = 2_400_000) -> DataFrame:
     """The documents without a match, with all their columns."""
-    for block in item_blocks(items, block_chars):
-        index = docs.sparkSession.sparkContext.broadcast(EditIndex(block, similarity, recall))
 
-        def make(index=index):
+    def without(docs, index):
+        def make():
             forget()
 
             def run(texts):
@@ -262,5 +360,12 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: fl
 
             return run
 
-        docs = keep_texts(docs, make)
-    return docs
+        return keep_texts(docs, make)
+
+    waiting = None
+    for block in item_blocks(items, block_chars):
+        if waiting:
+            docs, _ = materialise(without(docs, waiting), "clean")
+            waiting.destroy()
+        waiting = docs.sparkSession.sparkContext.broadcast(EditIndex(block, similarity, recall))
+    return without(docs, waiting)

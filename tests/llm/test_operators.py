@@ -344,29 +344,84 @@ def test_suffix_edge_cases(odd, empty):
 # --- benchmark decontamination
 
 
-def test_leaks_against_all_windows(spark, docs, data):
-    items = spark.read.parquet(f"{data}/benchmark.parquet")
-    benchmark = {r.item_id: decontam.words_of(r.text) for r in items.collect()}
+def plain_letters(a, b, anchored=False):
+    """Least edits that turn a into a stretch (anchored: a beginning) of b."""
+    row = list(range(len(b) + 1)) if anchored else [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [row[0] + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[-1] + 1))
+    return min(row)
+
+
+def edited(rng, words, edits):
+    copy = list(words)
+    for _ in range(edits):
+        k = rng.randrange(len(copy))
+        copy[k : k + 1] = rng.choice(([], ["qqq"], [copy[k], "rrr"]))
+    return copy
+
+
+@pytest.mark.parametrize("share", [0.5, 1.0])
+def test_leaks_are_recalled(spark, data, share):
+    """Copies of every item at half the limit and at the limit: found through the LSH tables, with the exact distance."""
+    benchmark = {r.item_id: decontam.words_of(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     rng, rows, want = random.Random(8), [], {}
-    for i, w in benchmark.items():
-        edits, copy = rng.randint(0, int(0.2 * len(w))), list(w)
-        for _ in range(edits):
-            k = rng.randrange(len(copy))
-            copy[k : k + 1] = rng.choice(([], ["qqq"], [copy[k], "rrr"]))
-        rows.append((1000 + i, "before it " + " ".join(copy) + " after it"))
-        want[1000 + i] = i
-    planted = spark.createDataFrame(rows, "doc_id long, text string")
-    found = decontam.leaks(planted, items).collect()
+    for n in range(5):
+        for i, w in benchmark.items():
+            rows.append((key := 1000 * n + i, "before it " + " ".join(edited(rng, w, int(share * 0.2 * len(w) + 1e-9))) + " after it"))
+            want[key] = i
+    found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{data}/benchmark.parquet")).collect()
     hits = {r.doc_id for r in found if want[r.doc_id] == r.item_id}
-    assert len(hits) >= 0.95 * len(want)
+    assert len(hits) >= (0.99 if share < 1 else 0.9) * len(want)
+    texts = dict(rows)
     for r in found:
-        w = benchmark[r.item_id]
-        cost, _, _ = decontam.infix_distance(w, decontam.words_of(dict(rows)[r.doc_id]), len(w))
-        assert r.edits == cost <= int(0.2 * len(w))
-    own = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
-    texts = {r.doc_id: decontam.words_of(r.text) for r in docs.collect()}
-    exact = {(d, i) for d, t in texts.items() for i, w in benchmark.items() if f" {' '.join(w)} " in f" {' '.join(t)} "}
-    assert exact <= own
+        w, text = benchmark[r.item_id], decontam.words_of(texts[r.doc_id])
+        if r.unit == "word":
+            assert r.edits == decontam.infix_distance(w, text, len(w))[0] <= int(0.2 * len(w) + 1e-9)
+        else:
+            assert decontam.infix_distance(w, text, len(w))[0] > int(0.2 * len(w) + 1e-9)
+            assert r.edits <= int(0.2 * len(" ".join(w)) + 1e-9)
+
+
+def test_leaks_against_all_windows(spark, docs, data):
+    """The whole query against every window of every document, by the exact distance of words."""
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    benchmark = {r.item_id: decontam.words_of(r.text) for r in items.collect()}
+    texts, want = {r.doc_id: decontam.words_of(r.text) for r in docs.collect()}, set()
+    for d, t in texts.items():
+        here = set(t)
+        for i, w in benchmark.items():
+            limit = int(0.2 * len(w) + 1e-9)
+            if sum(x in here for x in w) >= len(w) - limit and decontam.infix_distance(w, t, limit)[0] <= limit:
+                want.add((d, i))
+    found = decontam.leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.unit == "word"} == want and want
+
+
+def test_misspelt_and_unspaced_leaks(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(24)]
+    typos = [w[:3] + "x" + w[4:] if k % 4 == 1 else w for k, w in enumerate(words)]  # six of 24 words, six of 191 letters
+    chinese = "".join(chr(0x4E00 + k) for k in rng.sample(range(5000), 12))
+    items = spark.createDataFrame([(1, " ".join(words)), (2, chinese)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + " ".join(typos) + " on"), (2, f"甲乙{chinese[:5]}丙{chinese[6:]}丁戊")], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontam.leaks(docs, items).collect()}
+    assert (found[1].item_id, found[1].unit, found[1].edits, found[1].start_word, found[1].end_word) == (1, "letter", 6, 1, 25)
+    assert (found[2].item_id, found[2].unit, found[2].edits, found[2].start_word, found[2].end_word) == (2, "word", 1, 2, 14)
+
+
+def test_letter_distance():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randint(1, n))) for n in (80, 90))
+        for anchored in (False, True):
+            assert decontam.infix_letters(a, b, 1000, anchored)[0] == plain_letters(a, b, anchored)
+
+
+def test_unreachable_recall_raises():
+    with pytest.raises(ValueError):
+        decontam.EditIndex([(1, "a b c d e f g h i j")], similarity=0.3, recall=1.01)
 
 
 def test_infix_distance():
