@@ -100,6 +100,30 @@ def hashed_below(share: float | Column, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) < F.lit(share) * float(1 << 30)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with lines before it until no column of the frames is called that."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Ids fall into so many buckets at most; this bounds what near_ids broadcasts.
+ID_BUCKETS = 1 << 20
+
+
+def near_ids(df: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of df (inside: False, the others) whose doc_id falls into a bucket with one of ids' doc_id.
+
+    A cheap pass before an exact join: no row of df is shuffled, what is broadcast has ID_BUCKETS rows at most, and rows that
+    only share a bucket are left to the join.  Rows without an id are in no bucket.
+    """
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int")
+    buckets = ids.where("doc_id is not null").select(bucket.alias("bucket")).distinct().alias("__near")
+    of = F.when(df["doc_id"].isNotNull(), F.pmod(F.xxhash64(df["doc_id"]), F.lit(ID_BUCKETS)).cast("int"))
+    return df.join(F.broadcast(buckets), of == F.col("__near.bucket"), "left_semi" if inside else "left_anti")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary folder."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
@@ -114,6 +138,13 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def settle(spark: SparkSession, *paths: str) -> None:
+    """Drops tables and, through Spark, the shuffle files of finished steps."""
+    remove(spark, *paths)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)

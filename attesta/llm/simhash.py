@@ -8,7 +8,8 @@ radius only.  A subtree that already lies in one component, the query's own, is
 copies costs about a step for each copy.  A shard reports a star for each component; stars are joined into global
 components by alternating large-star and small-star steps, each written to the shared folder.
 
-Trees are dealt by a shuffle rather than broadcast whole, because together they hold every fingerprint of the corpus.
+Trees are dealt by a shuffle rather than broadcast whole, because together they hold every fingerprint of the corpus.  A
+shard that one value of its bits crowds is split further, so no task gets more than a bounded number of nodes.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Repeated rows and equal texts share a
 fingerprint and so a component.  A null doc_id is never a component's name unless it is alone.  No rows give no rows.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_columns, materialise, remove
+from .common import forget, map_columns, materialise, near_ids, remove, unused
 
 SEED = 42
 
@@ -126,15 +127,52 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, radius: int = 4, shard_size: int = 2000) -> DataFrame:
-    """a, b: a star around the least fingerprint of every shard's component; nodes: distinct column fp."""
+def rest_masks(mask: int, radius: int) -> list[int]:
+    """The bits outside mask in radius + 1 parts, of which two fingerprints within the radius share one."""
+    bits = [1 << k for k in range(64) if not mask >> k & 1]
+    return [sum(bits[len(bits) * k // (radius + 1) : len(bits) * (k + 1) // (radius + 1)]) for k in range(radius + 1)]
+
+
+def shards(nodes: DataFrame, radius: int, shard_size: int, crowd: int) -> DataFrame:
+    """shard, fp: every two nodes within the radius share a shard, and no shard grows with a crowded value.
+
+    Nodes are dealt by the bits of each mask.  A shard of more than `crowd` nodes is dealt again by parts of its other bits;
+    one that is still crowded is cut into pieces of half that size, and each two pieces are a shard.
+    """
     masks = shard_masks(nodes.count(), radius, shard_size)
-    choice = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for k, m in enumerate(masks)]))
-    dealt = nodes.select("fp", choice.alias("s")).select("s.mask", "s.part", "fp")
+    bits = [signed(m) for m in masks]
+    choice = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(bits)]))
+    dealt = nodes.select("fp", choice.alias("s")).select("fp", "s.mask", F.xxhash64("s.mask", "s.part").alias("shard"))
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of shards that aren't crowded, and those that are, with the shard's size."""
+        sizes, _ = materialise(rows.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > crowd), "crowded")
+        if sizes.isEmpty():
+            return rows, None
+        return rows.join(sizes, "shard", "left_anti"), rows.join(sizes, "shard")
+
+    out, crowded = split(dealt)
+    out = out.select("shard", "fp")
+    if crowded is None:
+        return out
+    rest = F.array(*[F.array(*[F.lit(signed(r)) for r in rest_masks(m, radius)]) for m in masks])
+    again = crowded.select("fp", "shard", F.posexplode(F.element_at(rest, F.col("mask") + 1)).alias("k", "bits"))
+    few, crowded = split(again.select("fp", F.xxhash64("shard", "k", F.col("fp").bitwiseAND(F.col("bits"))).alias("shard")))
+    out = out.union(few.select("shard", "fp"))
+    if crowded is None:
+        return out
+    pieces = F.ceil(2 * F.col("size") / F.lit(crowd))
+    own = F.pmod(F.xxhash64("fp"), pieces)
+    each = crowded.select("fp", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("other")).where("own != other")
+    return out.union(each.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "fp"))
+
+
+def links(nodes: DataFrame, radius: int = 4, shard_size: int = 2000, crowd: int = 20_000) -> DataFrame:
+    """a, b: a star around the least fingerprint of every shard's component; nodes: distinct column fp."""
+    dealt = shards(nodes, radius, shard_size, crowd)
 
     def search(batches):
-        held: tuple | None = None
-        tree = BKTree(radius)
+        held, tree = None, BKTree(radius)
 
         def stars():
             a, b = [], []
@@ -148,16 +186,16 @@ def links(nodes: DataFrame, radius: int = 4, shard_size: int = 2000) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
         for batch in batches:
-            for mask, part, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                if (mask, part) != held:
+            for shard, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != held:
                     if (out := stars()) is not None:
                         yield out
-                    held, tree = (mask, part), BKTree(radius)
+                    held, tree = shard, BKTree(radius)
                 tree.add(fp & 0xFFFFFFFFFFFFFFFF)
         if (out := stars()) is not None:
             yield out
 
-    return dealt.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(search, "a long, b long")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -179,43 +217,56 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_size: int = 2000) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable by links, itself included)."""
+def grouped(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_size: int = 2000, crowd: int = 20_000) -> DataFrame:
+    """doc_id, h (the text's hash), fp, root (the component's least fingerprint), component_id: a row for each row of docs."""
 
     def make():
         forget()
 
-        def run(keys, texts):
-            return keys, [signed(fingerprint(t, shingle)) for t in texts]
+        def run(keys, hashes, texts):
+            return keys, hashes, [signed(fingerprint(t, shingle)) for t in texts]
 
         return run
 
-    prints, _ = materialise(map_columns(docs.select("doc_id", "text"), "doc_id long, fp long", make), "fingerprints")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    prints, _ = materialise(map_columns(keyed, "doc_id long, h long, fp long", make), "fingerprints")
     nodes, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius, shard_size))
+    roots = components(links(nodes, radius, shard_size, crowd))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(names, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named.join(names, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable by links, itself included)."""
+    return grouped(docs, **options).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with one document of every component of near_duplicates."""
-    return least_of_each(docs, near_duplicates(docs, **options))
+    return least_of_each(docs, grouped(docs, **options))
 
 
 def least_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of every component: the one with the least doc_id; groups: doc_id, component_id.
+    """docs, all columns, with one document of every component: the one with the least doc_id, then the least text hash.
 
-    The ids that go are fewer than those that stay, so it is they that meet the documents again; Spark broadcasts them
-    while they are small and shuffles beyond that.  Documents without an id cannot be named, and stay.  Of repeated rows
-    of one id one stays.
+    groups: doc_id, h (the hash of the text), root (the component).  Ids may repeat: rows of one id with other texts stay or go
+    each by its own component.  Of rows of equal id and text one stays.  Documents without an id cannot be named, and stay.
+
+    The rows that go are fewer than those that stay, so only rows near their ids meet the exact join.
     """
-    groups = groups.where("doc_id is not null")
-    gone, _ = materialise(groups.where("doc_id != component_id").select("doc_id").distinct(), "copies")
-    again, _ = materialise(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
-    out = docs.join(gone.alias("__gone"), docs["doc_id"] == F.col("__gone.doc_id"), "left_anti")
+    groups, _ = materialise(groups.where("doc_id is not null").groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows")), "groups")
+    heads = groups.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    judged = groups.join(heads, "root").withColumn("stays", (F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.h") == F.col("h")))
+    acted, _ = materialise(judged.where("not stays or rows > 1").select("doc_id", "h", "stays"), "copies")
+    text_hash = unused("text_hash", docs)
+    near = near_ids(docs, acted).withColumn(text_hash, F.xxhash64("text"))
+
+    gone, again = acted.where("not stays").alias("__gone"), acted.where("stays").alias("__again")
+    kept = near.join(gone, (near["doc_id"] == F.col("__gone.doc_id")) & (near[text_hash] == F.col("__gone.h")), "left_anti")
+    out = near_ids(docs, acted, inside=False)
     if again.isEmpty():
-        return out
-    once = out.join(again.alias("__again"), out["doc_id"] == F.col("__again.doc_id"), "left_anti")
-    return once.union(out.join(again.alias("__again"), out["doc_id"] == F.col("__again.doc_id"), "left_semi").dropDuplicates(["doc_id"]))
+        return out.union(kept.drop(text_hash))
+    match = (kept["doc_id"] == F.col("__again.doc_id")) & (kept[text_hash] == F.col("__again.h"))
+    once = kept.join(again, match, "left_anti").union(kept.join(again, match, "left_semi").dropDuplicates(["doc_id", text_hash]))
+    return out.union(once.drop(text_hash))

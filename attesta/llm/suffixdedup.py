@@ -1,12 +1,12 @@
 """Removal of repeated passages: every byte covered by a string of `length` bytes that also starts anywhere else.
 
 1. Anchors deal the work out.  Each window of `deal` (256) bytes is named by its minimizer, the leftmost least hash of
-   its 32-byte pieces; a run of starts whose windows have the same minimizer is a context: those starts and the 400 bytes
+   its 64-byte pieces; a run of starts whose windows have the same minimizer is a context: those starts and the 400 bytes
    after each.  Equal strings have equal anchors at equal places, so they are compared only with those of the same anchor.
 2. Copies are summed up before and in the shuffle: a context that occurs twice as a whole is repeated as a whole, and only
    one of its copies is sorted, beside the different contexts of its anchor.
 3. A task sorts its contexts as suffixes, by a difference-cover blockwise construction.  The positions of a difference
-   cover (modulo 64) get lexicographic ranks to a depth of 64, 128 and 256 bytes, each from pairs of the one before.
+   cover (modulo 64) get lexicographic ranks to a depth of 64, 128, 256 and 384 bytes, each from pairs of those before.
    Then one bucket (a first byte) is sorted at a time: by its first 64 bytes, and longer ties by the ranks of the
    cover positions a few bytes on, so that no comparison walks through a long tie and memory is bounded by the flush
    size.  Neighbours that share 400 bytes are repeated.
@@ -25,7 +25,6 @@ all their bytes.  Other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from functools import cache, cmp_to_key
 
@@ -35,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise, remove, small_parts
+from .common import map_columns, materialise, settle, small_parts
 
-LENGTH, DEAL, PIECE = 400, 256, 32
+LENGTH, DEAL, PIECE = 400, 256, 64
 PASSAGE_WORDS = 50
 PERIOD = 64
 BASE = 0x9E3779B97F4A7C15
@@ -46,23 +45,23 @@ PLACE = 32
 
 
 @cache
-def byte_values() -> np.ndarray:
-    return np.random.default_rng(17).integers(1, 1 << 63, 256, np.uint64, endpoint=False) | np.uint64(1)
+def byte_values(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64, endpoint=False) | np.uint64(1)
 
 
-def piece_hashes(data: np.ndarray, size: int) -> np.ndarray:
+def piece_hashes(data: np.ndarray, size: int, seed: int = 17) -> np.ndarray:
     """A hash of the `size` (a power of two) bytes from every position on."""
-    h, power, width = byte_values()[data], BASE, 1
+    h, power, width = byte_values(seed)[data], BASE, 1
     while width < size:
         h = h[:-width] * np.uint64(power) + h[width:]
         power, width = power * power & 0xFFFFFFFFFFFFFFFF, 2 * width
     return h ^ (h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def minimizers(data: np.ndarray, window: int) -> np.ndarray:
+def minimizers(hashes: np.ndarray, window: int) -> np.ndarray:
     """For every start of `window` pieces, the place of the leftmost least piece."""
     low = np.uint64((1 << PLACE) - 1)
-    keys = (piece_hashes(data, PIECE) & ~low) | np.arange(len(data) - PIECE + 1, dtype=np.uint64)
+    keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     n = len(keys) - window + 1
     padded = np.concatenate([keys, np.full(-len(keys) % window, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, window)
     front = np.minimum.accumulate(padded, axis=1).reshape(-1)
@@ -78,7 +77,8 @@ def contexts(texts: list[bytes], length: int, deal: int) -> tuple[np.ndarray, ..
     empty = np.zeros(0, np.int64)
     if len(data) < deal:
         return empty, empty, empty, empty, empty, empty
-    place = minimizers(data, deal - PIECE + 1)
+    hashes = piece_hashes(data, PIECE)
+    place = minimizers(hashes, deal - PIECE + 1)
     left = np.repeat(ends, sizes)[: len(place)] - np.arange(len(place))
     starts = np.flatnonzero(left >= deal)
     if not len(starts):
@@ -88,17 +88,7 @@ def contexts(texts: list[bytes], length: int, deal: int) -> tuple[np.ndarray, ..
     counts = np.diff(np.append(first, len(starts)))
     begin, anchor = starts[first], at[first]
     text = np.searchsorted(ends, begin, side="right")
-    return text, begin - (ends - sizes)[text], counts, np.minimum(counts - 1 + length, left[begin]), anchor - begin, piece_hashes_at(data, anchor)
-
-
-def piece_hashes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the anchors' bytes, independent of what made them minimal."""
-    rows = data[at[:, None] + np.arange(PIECE)].view("<u8").astype(np.uint64)
-    h = np.zeros(len(at), np.uint64)
-    for k in range(rows.shape[1]):
-        h = (h ^ rows[:, k]) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-    return h.view(np.int64)
+    return text, begin - (ends - sizes)[text], counts, np.minimum(counts - 1 + length, left[begin]), anchor - begin, hashes[anchor].view(np.int64)
 
 
 @cache
@@ -157,31 +147,42 @@ class BlockwiseSuffixes:
         """Eight bytes as a number that orders like them."""
         return self.words[at].astype(np.uint64)
 
+    def heads(self, places: np.ndarray) -> np.ndarray:
+        """The rank of each place by its next 64 bytes; of those that are alike in both hashes one is compared with the others."""
+        first, second = (h[places] for h in self.hashed)
+        order = np.argsort(first)
+        first, second = first[order], second[order]
+        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        group, one = np.cumsum(new) - 1, places[order[new]]
+        words = [self.word(one + k) for k in range(0, PERIOD, 8)]
+        in_order = np.lexsort(words[::-1])
+        rank, out = np.empty(len(one), np.int64), np.empty(len(places), np.int64)
+        rank[in_order] = np.cumsum(np.concatenate([[False], np.logical_or.reduce([w[in_order[1:]] != w[in_order[:-1]] for w in words])]))
+        out[order] = rank[group]
+        return out
+
     def _rank(self) -> None:
         n = len(self.cover)
-        places = (np.arange((len(self.text) - 512) // PERIOD + 1)[:, None] * PERIOD + self.cover).reshape(-1)
-        heads = [self.word(places + k) for k in range(0, PERIOD, 8)]
-        order = np.lexsort(heads[::-1])
-        rank = np.empty(len(places), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], np.logical_or.reduce([h[order[1:]] != h[order[:-1]] for h in heads])]))
-        self.ranks = {PERIOD: rank}
-        for width in (PERIOD, 2 * PERIOD):  # positions a period on are in the cover too
-            step, before = n * width // PERIOD, self.ranks[width]
-            after = np.append(before[step:], np.zeros(min(step, len(before)), np.int64))[: len(before)]
-            self.ranks[2 * width] = names(before << 31 | after)
+        self.hashed = piece_hashes(self.text, PERIOD), piece_hashes(self.text, PERIOD, 18)
+        self.ranks = {PERIOD: self.heads((np.arange((len(self.text) - 512) // PERIOD + 1)[:, None] * PERIOD + self.cover).reshape(-1))}
+
+        def after(width: int, by: int) -> np.ndarray:
+            rank = self.ranks[width]
+            return np.append(rank[by * n :], np.zeros(min(by * n, len(rank)), np.int64))[: len(rank)]
+
+        # positions a period on are in the cover too
+        self.ranks[128] = names(self.ranks[64] << 31 | after(64, 1))
+        self.ranks[256] = names(self.ranks[128] << 31 | after(128, 2))
+        self.ranks[384] = names(self.ranks[256] << 31 | after(128, 4))
 
     def sample(self, at):
         """The number of a cover position."""
         return at // PERIOD * len(self.cover) + self.slot[at % PERIOD]
 
-    def rank(self, sample):
-        """The rank of a cover position by its next 384 bytes."""
-        return self.ranks[256][sample] << 31 | self.ranks[128][sample + 4 * len(self.cover)]
-
     def compare(self, a: int, b: int) -> int:
         """The order of two places whose first 64 bytes are equal, by the ranks where both meet the cover."""
         d = meeting(PERIOD)[a % PERIOD, b % PERIOD]
-        x, y = (int(self.rank(self.sample(p + d))) for p in (a, b))
+        x, y = (int(self.ranks[384][self.sample(p + d)]) for p in (a, b))
         if x == y:
             x, y = (self.text[p + d + 384 : p + LENGTH].tobytes() for p in (a, b))
         return (x > y) - (x < y)
@@ -197,26 +198,35 @@ class BlockwiseSuffixes:
 
     def _sort_bucket(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = self.starts[which]
-        sample = self.sample(p + self.to_cover[p % PERIOD])
-        heads = [self.word(p + k) for k in range(0, PERIOD, 8)]
-        rest = [self.rank(sample), self.word(p + 384), self.word(p + 392)]
-        order = np.lexsort([*rest[::-1], *heads[::-1]])
+        r = p % PERIOD
+        head, sample = self.heads(p), self.sample(p + self.to_cover[r])
+        # the rank is that of the 384 bytes from at most 7 bytes on; what is left are the last 16 bytes
+        key, tails = head << 31 | self.ranks[384][sample], (self.word(p + 384), self.word(p + 392))
+        order = np.argsort(key)
 
         def alike(keys, a, b):
             return np.logical_and.reduce([k[a] == k[b] for k in keys])
 
-        tied = alike(heads, order[1:], order[:-1])
-        r = p[order] % PERIOD
-        if (mixed := tied & (r[1:] != r[:-1])).any():  # these ties have to be broken at other places than the next cover position
-            group = np.cumsum(np.concatenate([[True], ~tied]))
-            for g in np.unique(group[1:][mixed]):
-                low, high = np.searchsorted(group, [g, g + 1])
-                order[low:high] = sorted(order[low:high].tolist(), key=cmp_to_key(lambda a, b: self.compare(int(p[a]), int(p[b]))))
-        p, sample, r = p[order], sample[order], p[order] % PERIOD
-        lies_alike = r[1:] == r[:-1]
-        same = lies_alike & tied & alike(rest, order[1:], order[:-1])
+        def groups_with(ties: np.ndarray, odd: np.ndarray):
+            """The stretches of ties in order that hold an odd one."""
+            group = np.cumsum(np.concatenate([[True], ~ties]))
+            for g in np.unique(group[1:][odd]):
+                yield slice(*np.searchsorted(group, [g, g + 1]))
+
+        tied = key[order[1:]] == key[order[:-1]]
+        if (unlike := tied & ~alike(tails, order[1:], order[:-1])).any():
+            for ties in groups_with(tied, unlike):
+                some = order[ties]
+                order[ties] = some[np.lexsort((tails[1][some], tails[0][some]))]
+        tied = head[order[1:]] == head[order[:-1]]
+        if (mixed := tied & (r[order[1:]] != r[order[:-1]])).any():  # other residues meet at other places than the next cover position
+            for ties in groups_with(tied, mixed):
+                order[ties] = sorted(order[ties].tolist(), key=cmp_to_key(lambda a, b: self.compare(int(p[a]), int(p[b]))))
+        p, sample, r = p[order], sample[order], r[order]
+        lies_alike = tied & (r[1:] == r[:-1])
+        same = lies_alike & alike((key, *tails), order[1:], order[:-1])
         n = len(self.cover)
-        shared = lies_alike & tied & alike((self.ranks[128], self.ranks[64][2 * n :]), sample[1:], sample[:-1])
+        shared = lies_alike & alike((self.ranks[128], self.ranks[64][2 * n :]), sample[1:], sample[:-1])
         close = np.flatnonzero(shared)
         shared[close] = np.logical_and.reduce([self.words[p[close + 1] + k] == self.words[p[close] + k] for k in range(192, 256, 8)])
         return which[order], np.concatenate([[False], same]), np.concatenate([[False], shared])
@@ -303,13 +313,6 @@ def repeated_ranges(stretches: DataFrame, flush_bytes: int) -> DataFrame:
     return stretches.mapInArrow(run, RANGES)
 
 
-def settle(spark, *paths: str) -> None:
-    """Drops tables and, through Spark, the shuffle files of finished steps."""
-    remove(spark, *paths)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def removed_ranges(docs: DataFrame, length: int = LENGTH, deal: int = DEAL, most: int = 1024, flush_bytes: int = 4 << 20, part_bytes: int = 24 << 20) -> DataFrame:
     """docs' doc_id and text, with `found` array<struct<a, ranges, shared>>: starts (from a on) whose strings occur elsewhere."""
     if length != LENGTH or deal != DEAL:
@@ -369,7 +372,8 @@ def sorted_ranges(cuts: DataFrame, length: int, deal: int, most: int, flush_byte
     out = in_buckets(cuts.join(heavy, "anchor", "left_anti"))
     split, path = materialise(by_more_bytes(cuts.join(heavy, "anchor", "left_semi"), length, deal), "split")
     paths.append(path)
-    sizes, path = materialise(split.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > most).alias("heavy")), "sizes")
+    # these are cut shorter, so more of them fit
+    sizes, path = materialise(split.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > 16 * most).alias("heavy")), "sizes")
     paths.append(path)
     split = split.join(sizes, "anchor")
     out = out.union(in_buckets(split.where("not heavy").drop("heavy")))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attesta.llm import bpe, decontam, flac, langid, linededup, maintext, pii, quality, simhash, suffixdedup
+from attesta.llm import bpe, decontam, flac, langid, linededup, maintext, pii, quality, shinglesim, simhash, suffixdedup
 from attesta.llm.common import held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -539,21 +539,45 @@ def test_fingerprints_and_components(docs, texts):
     assert [got[i].component_id for i in ids] == [ids[k] for k in plain_components(prints)]
 
 
-@pytest.mark.parametrize("shard_size", [1, 2000])
-def test_links_of_crowded_fingerprints(spark, shard_size):
+@pytest.mark.parametrize(("shard_size", "crowd"), [(1, 20_000), (2000, 20_000), (2000, 60)])
+def test_links_of_crowded_fingerprints(spark, shard_size, crowd):
     rng, prints = random.Random(9), set()
     for _ in range(6):
         centre = rng.getrandbits(64)
         prints |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for _ in range(80)}
     prints = sorted(prints)
     nodes = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, shard_size)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, shard_size, crowd)).collect()}
     groups = {}
     for p, k in zip(prints, plain_components(prints)):
         groups.setdefault(k, set()).add(roots.get(simhash.signed(p), simhash.signed(p)))
     assert all(len(g) == 1 for g in groups.values()) and len(set(map(min, groups.values()))) == len(groups)
 
 
+def test_crowded_shards_are_split(spark):
+    """One value of a block holds all nodes: they are spread over shards of a bounded size, and meet there."""
+    rng = random.Random(7)
+    prints = sorted({rng.getrandbits(40) << 24 for _ in range(3000)} | {0xABCDEF << 40 | rng.getrandbits(3) << rng.randrange(38) for _ in range(400)})
+    nodes = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
+    rows = simhash.shards(nodes, 4, 2000, 200).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.shard, set()).add(r.fp)
+    assert max(map(len, shards.values())) <= 300
+    met = {(a, b) for members in shards.values() for a in members for b in members}
+    near = [(simhash.signed(a), simhash.signed(b)) for k, a in enumerate(prints) for b in prints[:k] if (a ^ b).bit_count() <= 4]
+    assert len(near) > 100 and all(x in met for x in near)
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    a, b, c, d = ("".join(f"{x}{k} " for k in range(40)) for x in "abcd")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (9, c, 4), (9, d, 5), (11, c, 6), (12, b, 7), (12, b, 7), (None, a, 8), (13, "own text", 9), (13, "own text", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash int")
+    want = [(3, a, 1), (5, b, 3), (9, c, 4), (9, d, 5), (13, "own text", 9), (None, a, 8)]
+    for kept in (simhash.one_of_each(docs), simhash.least_of_each(docs, shinglesim.near_duplicates(docs))):
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str) and kept.columns == docs.columns
+
+
 def test_chains_join(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100)], "a long, b long")
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
