@@ -47,19 +47,41 @@ def texts(docs):
 # --- language identification
 
 
+def plain_phrases(text, known):
+    """Longest matches from left to right, by searching the training text; a byte it lacks is a phrase."""
+    n = 0
+    for low in range(0, len(text), langid.BLOCK):
+        block, at = text[low : low + langid.BLOCK], 0
+        while at < len(block):
+            size = 1
+            while at + size < len(block) and block[at : at + size + 1] in known:
+                size += 1
+            at, n = at + size, n + 1
+    return n
+
+
 def test_suffix_automaton_finds_longest_matches():
     rng = random.Random(2)
-    text = "".join(rng.choice("abc") for _ in range(300))
-    a = langid.SuffixAutomaton(text)
-    for _ in range(300):
-        probe = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 20)))
-        longest = max(n for n in range(len(probe) + 1) if probe[:n] in text)
-        assert a.longest(probe) == longest
-        n, at = 0, 0
-        while at < len(probe):
-            at += max(1, a.longest(probe, at))
-            n += 1
-        assert a.phrases(probe) == n
+    texts = [(lang, bytes(rng.choice(letters) for _ in range(300))) for lang, letters in (("x", b"abc"), ("y", b"abde"))]
+    parser = langid.CrossParser(texts)
+    probes = [bytes(rng.choice(b"abcdz") for _ in range(rng.randint(1, 20))) for _ in range(300)] + [bytes(rng.choice(b"abc") for _ in range(5000))]
+    got = parser.phrases(probes).tolist()
+    for k, (_, known) in enumerate(texts):
+        automaton = langid.SuffixAutomaton(known)
+        for probe, counts in zip(probes, got):
+            if len(probe) <= 20:
+                assert automaton.longest(probe) == max(n for n in range(len(probe) + 1) if probe[:n] in known)
+            assert counts[k] == plain_phrases(probe, known)
+
+
+def test_query_equals_plain_cross_parsing(docs, texts):
+    """The whole query against cross-parsing by substring search."""
+    model = langid.learn(docs, ~held_out(F.col("doc_id")))
+    got = {r.doc_id: r.lang_pred for r in langid.identify_held_out(docs).collect()}
+    for i in sorted(texts)[:60]:
+        stream = langid.letters(texts[i])[: 4 * langid.BLOCK]
+        if stream and len(langid.letters(texts[i])) == len(stream):
+            assert got[i] == min(model, key=lambda m: plain_phrases(stream, m[1]) * np.log2(len(m[1]) + 2))[0]
 
 
 def test_languages_of_held_out_documents(docs):
@@ -68,6 +90,12 @@ def test_languages_of_held_out_documents(docs):
     assert n > 20 and right > 0.97
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} " * 30, f"l{i % 300}") for i in range(900)]
+    model = langid.learn(spark.createDataFrame([*rows, (1000, "a " * 50_000, "long")], "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model) == 301 and sum(len(t) for _, t in model) <= 480_000
+
+
 def test_language_edge_cases(odd, empty, docs):
     model = langid.learn(docs, ~held_out(F.col("doc_id")))
     rows = langid.identify(odd, model).collect()
