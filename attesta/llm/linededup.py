@@ -8,8 +8,9 @@
 3. Keys of at least `min_docs` documents lose their lines.  If those keys are small they are broadcast; beyond
    `broadcast_bytes` the suspects' line numbers are joined by key, which Spark can split where a key is hot.
 
-The filters have a fixed largest size (`most_bits`); beyond the lines that suits, more keys are suspected and shuffled
-but the result is the same.
+The filters have a fixed largest size (`most_bits`), which bounds what a task holds and what is broadcast.  Where the
+documents need more, keys are dealt into parts by their hash and each part has filters, and a pass over the documents,
+of its own: the share of keys that are suspected for no reason stays what it is for small inputs.
 
 A key is the line without white space at both ends and with A-Z lower-cased.  Each row is a document: repeated rows
 count as documents of their own.  Null and empty texts are one empty line; empty keys never count.  Other columns are
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_columns, map_text, materialise
+from .common import forget, map_columns, map_text, materialise, unused
 
 SEGMENT_BITS = 1 << 16
+MIX = np.uint64(0x94D049BB133111EB)
 PROBES = 2
 
 
@@ -82,8 +85,17 @@ def hash_keys(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
-def twice_seen(docs: DataFrame, bits: int, least: int) -> np.ndarray:
-    """The merged twice-seen filter of the keys of all documents; its size is fixed by bits."""
+def in_part(hashes: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Which keys are the part's: by other bits than the filters use."""
+    return (hashes * MIX >> np.uint64(40)) % np.uint64(parts) == part
+
+
+def twice_seen(docs: DataFrame, bits: int, least: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """The merged twice-seen filter of a part's keys of all documents; its size is fixed by bits."""
+
+    def own_hashes(keys: list[bytes]) -> np.ndarray:
+        hashes = hash_keys(keys)
+        return hashes[in_part(hashes, part, parts)]
 
     def build(batches):
         forget()
@@ -93,9 +105,9 @@ def twice_seen(docs: DataFrame, bits: int, least: int) -> np.ndarray:
             for t in batch.column(0):
                 keys += distinct_keys(t.as_py(), least)
                 if len(keys) > 200_000:
-                    filters.add(hash_keys(keys))
+                    filters.add(own_hashes(keys))
                     keys = []
-            filters.add(hash_keys(keys))
+            filters.add(own_hashes(keys))
         part: list[tuple[int, bytes, bytes]] = []
         for row in filters.segments():
             part.append(row)
@@ -128,11 +140,18 @@ SEGMENTS = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice",
 MERGED = pa.schema([("segment", pa.int32()), ("twice", pa.binary())])
 
 
-def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_bits: int = 1 << 28, bits: int | None = None) -> DataFrame:
+def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_bits: int = 1 << 28, bits: int | None = None, doc_bits: int = 64) -> DataFrame:
     """key binary, n_docs, first_doc, first_line: keys of at least min_docs documents (2 at least)."""
+    wanted = doc_bits * docs.count()
+    parts = max(1, -(-wanted // most_bits))
     if bits is None:
-        bits = min(most_bits, max(1 << 20, 1 << (64 * docs.count()).bit_length()))
-    suspected = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_chars))
+        bits = min(most_bits, max(1 << 20, 1 << wanted.bit_length()))
+    return reduce(DataFrame.union, (shared_in_part(docs, min_docs, min_chars, bits, part, parts) for part in range(parts)))
+
+
+def shared_in_part(docs: DataFrame, min_docs: int, min_chars: int, bits: int, part: int, parts: int) -> DataFrame:
+    """The same for one part of the keys; with several parts the result is written, so that one filter is out at a time."""
+    suspected = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_chars, part, parts))
 
     def count(batches):
         filters = SeenFilters(8)
@@ -156,7 +175,8 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_b
                 if not own:
                     continue
                 first = doc if doc is not None else 1 << 62
-                hits = SeenFilters.holds(suspected.value, filters.probes(hash_keys(own)))
+                hashes = hash_keys(own)
+                hits = SeenFilters.holds(suspected.value, filters.probes(hashes)) & in_part(hashes, part, parts)
                 for i in np.flatnonzero(hits):
                     key = own[i]
                     n, d, line = seen.get(key, (0, 1 << 62, 0))
@@ -167,30 +187,33 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_b
 
     rows = docs.select("doc_id", "text").mapInArrow(count, "key binary, n long, doc long, line int")
     sums = rows.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("doc", "line")).alias("first"))
-    return sums.where(F.col("n_docs") >= max(2, min_docs)).select("key", "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
+    out = sums.where(F.col("n_docs") >= max(2, min_docs)).select("key", "n_docs", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
+    if parts == 1:
+        return out
+    out, _ = materialise(out, "shared-part")
+    suspected.destroy()
+    return out
 
 
 COUNTS = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("doc", pa.int64()), ("line", pa.int32())])
 
 
-HASH, DROPPED = "__text_hash", "__dropped_lines"
-
-
-def line_numbers(docs: DataFrame, shared: DataFrame, keep_first: bool) -> DataFrame:
-    """The rows of docs with DROPPED, an array of line numbers, joined by key: the way for sets of keys of any size."""
-    docs = docs.withColumn(HASH, F.xxhash64("text"))
+def line_numbers(docs: DataFrame, shared: DataFrame, keep_first: bool, dropped: str) -> DataFrame:
+    """The rows of docs with another column, an array of line numbers, joined by key: the way for sets of keys of any size."""
+    text_hash = unused("text_hash", docs)
+    docs = docs.withColumn(text_hash, F.xxhash64("text"))
 
     def lines(keys, hashes, texts):
         out = [(d, h, n, k) for d, h, t in zip(keys, hashes, texts) for n, k in enumerate(keys_of(t)) if k]
         return tuple(map(list, zip(*out))) if out else ([], [], [], [])
 
-    each = map_columns(docs.select("doc_id", HASH, "text"), f"doc_id long, {HASH} long, n int, key binary", lambda: lines)
+    each = map_columns(docs.select("doc_id", text_hash, "text"), "doc_id long, h long, n int, key binary", lambda: lines)
     hit = each.join(shared, "key")
     if keep_first:
         hit = hit.where(~((F.col("doc_id") == F.col("first_doc")) & (F.col("n") == F.col("first_line"))))
-    found = hit.groupBy("doc_id", HASH).agg(F.collect_set("n").alias(DROPPED))
-    match = docs["doc_id"].eqNullSafe(F.col("__found.doc_id")) & (docs[HASH] == F.col(f"__found.{HASH}"))
-    return docs.join(found.alias("__found"), match, "left").select(*[docs[c] for c in docs.columns if c != HASH], F.col(f"__found.{DROPPED}"))
+    found = hit.groupBy("doc_id", "h").agg(F.collect_set("n").alias("numbers"))
+    match = docs["doc_id"].eqNullSafe(F.col("__found.doc_id")) & (docs[text_hash] == F.col("__found.h"))
+    return docs.join(found.alias("__found"), match, "left").select(*[docs[c] for c in docs.columns if c != text_hash], F.col("__found.numbers").alias(dropped))
 
 
 def kept_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, broadcast_bytes: int = 16 << 20, **options) -> DataFrame:
@@ -210,7 +233,7 @@ def kept_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
                 out.append((k, len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
             return tuple(map(list, zip(*out))) if out else ([], [], [], [])
 
-        return map_columns(line_numbers(docs.select("doc_id", "text"), shared, keep_first).select("doc_id", "text", DROPPED), schema, lambda: by_number)
+        return map_columns(line_numbers(docs.select("doc_id", "text"), shared, keep_first, "dropped").select("doc_id", "text", "dropped"), schema, lambda: by_number)
     first = {bytes(r[0]): (r[1], r[2]) for r in shared.select("key", "first_doc", "first_line").collect()}
     known = docs.sparkSession.sparkContext.broadcast(first)
 
@@ -244,8 +267,9 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text
 
     if size > broadcast_bytes or keep_first:
-        numbered = line_numbers(docs, shared, keep_first)
-        return map_text(numbered, lambda: lambda texts, dropped: [without(t, set(d or ())) for t, d in zip(texts, dropped)], DROPPED).drop(DROPPED)
+        name = unused("dropped_lines", docs)
+        numbered = line_numbers(docs, shared, keep_first, name)
+        return map_text(numbered, lambda: lambda texts, dropped: [without(t, set(d or ())) for t, d in zip(texts, dropped)], name).drop(name)
     known = docs.sparkSession.sparkContext.broadcast({bytes(r[0]) for r in shared.select("key").collect()})
 
     def make():

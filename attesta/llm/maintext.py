@@ -19,6 +19,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame
@@ -68,6 +69,7 @@ def parse(html: str, mark: str | None = None) -> tuple[Node, list[tuple[Node, li
     """
     root = Node("#page", "", None)
     stack: list[tuple[str, Node]] = [("#page", root)]  # open elements; inline ones share their block's node
+    opened: Counter = Counter()  # open elements by tag: what isn't open is not looked for
     blocks: list[tuple[Node, list[str]]] = []
     pieces: list[str] = []
     hidden = links = 0  # open elements that are dropped, and open links
@@ -95,6 +97,7 @@ def parse(html: str, mark: str | None = None) -> tuple[Node, list[tuple[Node, li
                 border()
             hidden -= tag in DROPPED
             links -= tag == "a"
+            opened[tag] -= 1
             stack.pop()
 
     at = 0
@@ -110,7 +113,7 @@ def parse(html: str, mark: str | None = None) -> tuple[Node, list[tuple[Node, li
             if tag == "br":
                 text(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
@@ -125,7 +128,7 @@ def parse(html: str, mark: str | None = None) -> tuple[Node, list[tuple[Node, li
             continue
         if tag in CLOSES_P or tag in SAME:
             shut = SAME.get(tag, ("p",)) if tag in SAME else ("p", *(HEADINGS if tag in HEADINGS else ()))
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in shut) else ():
                 if stack[k][0] in shut:
                     pop_to(k)
                     if tag not in SAME:
@@ -134,14 +137,16 @@ def parse(html: str, mark: str | None = None) -> tuple[Node, list[tuple[Node, li
                     break
         if tag in INLINE:
             links += tag == "a"
+            opened[tag] += 1
             stack.append((tag, stack[-1][1]))
             continue
         border()
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and opened[tag]:
             continue
         if tag in DROPPED:
             hidden += 1
         if hidden:
+            opened[tag] += 1
             stack.append((tag, stack[-1][1]))
             continue
         more = m["more"] or m["more2"] or ""
@@ -149,6 +154,7 @@ def parse(html: str, mark: str | None = None) -> tuple[Node, list[tuple[Node, li
         if mark and (found := re.search(rf'{mark}="(\d)"', more)):
             node.label = int(found[1])
         if not more.endswith("/") or tag not in ("path",):
+            opened[tag] += 1
             stack.append((tag, node))
     if at < len(html):
         text(html[at:])

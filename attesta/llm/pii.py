@@ -2,8 +2,8 @@
 
 Labelers vote on candidate spans (yes, no, or nothing): the form of the span itself (regex and checksums), gazetteers
 (name parts, domain endings, key prefixes) and the words before it (context for and against).  Expectation
-maximisation over the votes of all candidates of the corpus estimates each labeler's reliability and each candidate's
-probability; a logistic span classifier is then trained on those probabilities and decides the additional spans.  Votes and features
+maximisation over the votes of all candidates of the corpus estimates each labeler's reliability for each kind and each
+candidate's probability; a logistic span classifier is then trained on those probabilities and decides the additional spans.  Votes and features
 are discrete, so the corpus is summed up exactly by counting their combinations: a bounded number of rows, gathered
 by partial sums, from every document.
 
@@ -24,6 +24,7 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -76,6 +77,8 @@ NO_NAMES = FOR["person"] | AGAINST | frozenset(w for k in ("email", "phone", "ib
 WORD = re.compile(r"[A-Za-z]+")
 
 LABELERS = ("form", "gazetteer", "for", "against")
+#: Pseudo votes of each labeler and kind: so many, and such a part of those cast.
+PSEUDO = 10, 1.0
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -133,8 +136,14 @@ def extra_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
     found += [("person", *s) for s in pairs(text)]
     if not found:
         return []
-    taken = sorted((s, e) for _, s, e in base)
-    return [c for c in sorted(found) if not any(s < c[2] and c[1] < e for s, e in taken)]
+    starts, ends = [], []  # base spans, joined where they overlap: one bisection finds those that a candidate meets
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(e, ends[-1])
+        else:
+            starts.append(s)
+            ends.append(e)
+    return [c for c in sorted(found) if (k := bisect_left(starts, c[2])) == 0 or ends[k - 1] <= c[1]]
 
 
 def entropy_level(value: str) -> int:
@@ -189,7 +198,8 @@ class SpanModel:
     """Reliabilities by EM, then a logistic classifier; both over counted descriptions."""
 
     def __init__(self, counts: dict[tuple, int], rounds: int = 40):
-        self.reliability = {name: (0.85, 0.25) for name in LABELERS}  # P(for | personal), P(for | not), among votes cast
+        #: By kind and labeler: P(for | personal) and P(for | not), among votes cast.
+        self.reliability = {(kind, name): (0.85, 0.25) for kind in (*BASE, *EXTRA) for name in LABELERS}
         self.prior = {k: 0.5 for k in (*BASE, *EXTRA)}
         self.weights = np.zeros(0)
         self.columns: dict[tuple, int] = {}
@@ -197,30 +207,28 @@ class SpanModel:
             return
         rows, n = list(counts), np.array([float(c) for c in counts.values()])
         cast = np.array([r[1] for r in rows])
-        kinds = [r[0] for r in rows]
-        share = np.log1p(n) / n  # frequent combinations don't drown the rest
-        n = n * share
+        kinds = np.array([r[0] for r in rows])
         for _ in range(rounds):
-            p = np.array([self.posterior(k, v) for k, v in zip(kinds, cast.tolist())])
-            for j, name in enumerate(LABELERS):
-                some = cast[:, j] >= 0
-                yes = (cast[:, j] == 1)[some]
-                a, b, w = p[some], 1 - p[some], n[some]
-                # priors of a few pseudo counts hold labelers that never vote against near their start
-                personal = ((w * a * yes).sum() + 8.5) / ((w * a).sum() + 10)
-                other = ((w * b * yes).sum() + 2.5) / ((w * b).sum() + 10)
-                self.reliability[name] = float(np.clip(personal, 0.05, 0.95)), float(np.clip(other, 0.05, 0.95))
-            for kind in self.prior:
-                some = np.array([k == kind for k in kinds])
-                self.prior[kind] = float(((n * p)[some].sum() + 2) / (n[some].sum() + 4))
-        p = np.array([self.posterior(k, v) for k, v in zip(kinds, cast.tolist())])
-        self._train(rows, n, p)
+            p = np.array([self.posterior(r[0], r[1]) for r in rows])
+            for kind in set(kinds.tolist()):
+                own = kinds == kind
+                self.prior[kind] = float(((n * p)[own].sum() + 2) / (n[own].sum() + 4))
+                for j, name in enumerate(LABELERS):
+                    some = own & (cast[:, j] >= 0)
+                    yes, a, b = (cast[:, j] == 1)[some], (n * p)[some], (n * (1 - p))[some]
+                    # pseudo votes, worth a part of the votes cast, hold a labeler that always votes alike near its start
+                    held = PSEUDO[0] + PSEUDO[1] * n[some].sum()
+                    self.reliability[kind, name] = (
+                        float(np.clip(((a * yes).sum() + 0.85 * held) / (a.sum() + held), 0.05, 0.95)),
+                        float(np.clip(((b * yes).sum() + 0.25 * held) / (b.sum() + held), 0.05, 0.95)),
+                    )
+        self._train(rows, n, np.array([self.posterior(r[0], r[1]) for r in rows]))
 
     def posterior(self, kind: str, cast) -> float:
         odds = math.log(self.prior[kind] / (1 - self.prior[kind]))
         for name, v in zip(LABELERS, cast):
             if v >= 0:
-                a, b = self.reliability[name]
+                a, b = self.reliability[kind, name]
                 odds += math.log(a / b) if v else math.log((1 - a) / (1 - b))
         return 1 / (1 + math.exp(-odds))
 
@@ -301,7 +309,7 @@ def written(found: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and all spans: one row for each row of docs."""
+    """doc_id, counts of the base kinds, base_sha256, all spans and n_spans, their number: one row for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
 
     def make():
@@ -309,7 +317,7 @@ def find(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 
         def run(keys, texts):
             counts: list[list[int]] = [[] for _ in BASE]
-            digests, all_spans = [], []
+            digests, all_spans, totals = [], [], []
             for t in texts:
                 base, added = spans(t, model, memo=memo)
                 own = Counter(k for k, _, _ in base)
@@ -317,8 +325,9 @@ def find(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
                     out.append(own[kind])
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
                 all_spans.append(written([*base, *added]))
-            return keys, *counts, digests, all_spans
+                totals.append(len(base) + len(added))
+            return keys, *counts, digests, all_spans, totals
 
         return run
 
-    return map_columns(docs.select("doc_id", "text"), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", make)
+    return map_columns(docs.select("doc_id", "text"), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", make)

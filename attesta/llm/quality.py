@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import hashed_below, held_out, keep_texts, map_columns, worker_state
+from .common import hashed_below, held_out, keep_texts, map_columns, materialise, remove, worker_state
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: The bucket after all others is for a word that follows itself; it counts as much as so many n-grams.
@@ -107,7 +107,8 @@ def sigmoid(x: float) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", sample_docs: int = 2500, train_chars: int = 6_000_000) -> SubwordClassifier:
-    """Only the sampled label rows (bounded by sample_docs) are broadcast; documents are read once and not shuffled."""
+    """Only the sampled label rows (bounded by sample_docs) are broadcast, and only texts that fit in train_chars are
+    collected; documents are read once and not shuffled."""
     rows = labels.where(may_learn & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).alias("label"))
     n = rows.count()
     sampled = {}
@@ -115,15 +116,17 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
         sampled.setdefault(r[0], []).append(r[1])
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(k, int(2 * sum(v) >= len(v))) for k, v in sampled.items()], "doc_id long, label int")
-    got = sorted(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "label").collect())
-    size, texts, marks = 0, [], []
-    for _, text, label in got:
-        if texts and size + len(text) > train_chars:
-            continue
-        size += len(text)
-        texts.append(text)
-        marks.append(label)
-    return SubwordClassifier().fit(texts, marks)
+    drawn = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    sample, path = materialise(drawn.select(F.xxhash64("doc_id", "text").alias("h"), "text", "label"), "quality-sample")
+    size, fits = 0, []
+    for h, chars in sorted(map(tuple, sample.select("h", F.length("text")).collect())):
+        if not fits or size + chars <= train_chars:
+            size += chars
+            fits.append((h,))
+    wanted = spark.createDataFrame(sorted(set(fits)), "h long")
+    got = sorted(sample.join(F.broadcast(wanted), "h", "left_semi").select("h", "text", "label").collect())
+    remove(spark, path)
+    return SubwordClassifier().fit([r[1] for r in got], [r[2] for r in got])
 
 
 def score(docs: DataFrame, model: SubwordClassifier, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

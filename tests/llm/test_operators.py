@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -142,6 +143,15 @@ def test_main_text_of_generated_layouts():
     assert right / n > 0.96
 
 
+def test_stray_ends_take_linear_time():
+    seconds = []
+    for n in (2_000, 16_000):
+        page, began = "<div><i>" * n + "</p></b></span>" * n, time.perf_counter()
+        maintext.parse(page)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 30 * seconds[0]
+
+
 def test_page_edge_cases(spark):
     pages = [(1, None, None, 1), (2, "u", "", 1), (3, "u", "plain words only", 1), (4, None, "<p>cut <b", 1), (4, None, "<p>cut <b", 1), (5, "u", "<div>" * 3000 + "deep" + "</div>" * 10, 1), (6, "u", "<article><p>" + "long words. " * 50_000, 1)]
     rows = maintext.extract(spark.createDataFrame(pages, "page_id long, url string, html string, text int")).collect()
@@ -278,6 +288,14 @@ def test_persons_of_every_surrounding():
     assert {t: [t[s:e] for _, s, e in pii.spans(t, model)[1]] for t in texts} == {t: [names[t]] if t in names else [] for t in texts}
 
 
+def test_candidates_meet_no_base_span():
+    rng, secret = random.Random(4), 'token = "ce0cc631f6559e745b37cb8be6fc63ae2d235c5f"'
+    text = " ".join(rng.choice(("a.b@mail.example.com", "10.0.0.1", "+1 (826) 555-4081", secret, "token=a.b@mail.example.com", "James Smith")) for _ in range(300))
+    base = pii.base_spans(text)
+    got, want = pii.extra_candidates(text, base), [c for c in pii.extra_candidates(text, []) if not any(s < c[2] and c[1] < e for _, s, e in base)]
+    assert got == want and len(got) > 50
+
+
 def test_reliabilities_follow_agreement():
     row = lambda v: ("secret", v, (5, 1, 3))
     m = pii.SpanModel({row((1, 1, 1, -1)): 500, row((0, -1, -1, 0)): 500, row((1, -1, -1, 0)): 40})
@@ -505,7 +523,7 @@ def plain_lines(texts, least):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"bits": 1 << 16}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"bits": 1 << 16}, {"most_bits": 1 << 16, "doc_bits": 1000}])
 def test_shared_lines(spark, texts, options):
     rows = [*texts.values(), None, "", *["  Head LINE\t\nÉtude own", "head line\n\x0bétude own"] * 6]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(rows)], "doc_id long, text string, key string")
@@ -514,6 +532,24 @@ def test_shared_lines(spark, texts, options):
     assert "\nhead line" not in "\n".join(v[2] for v in got.values()).lower()
 
 
+def test_line_filters_are_sharded():
+    """Beyond most_bits the keys are dealt into parts, so few keys that are seen once are suspected."""
+    rng = random.Random(3)
+    hashes = np.array([rng.getrandbits(64) for _ in range(20_000)], np.uint64)
+    owner = np.array([linededup.in_part(hashes, part, 4) for part in range(4)])
+    assert (owner.sum(axis=0) == 1).all() and owner.sum(axis=1).min() > 4_000
+    suspects = {}
+    for parts in (1, 4):
+        suspects[parts] = 0
+        for part in range(parts):
+            filters = linededup.SeenFilters(1 << 16)
+            own = hashes[linededup.in_part(hashes, part, parts)]
+            for low in range(0, len(own), 500):
+                filters.add(own[low : low + 500])
+            suspects[parts] += filters.holds(filters.twice, filters.probes(own)).sum()
+    assert 10 * suspects[4] < suspects[1]
+
+
 def test_first_occurrences_stay(spark):
     df = spark.createDataFrame([(i, f"shared\nown {i}\nshared") for i in range(12)], "doc_id long, text string")
     for options in ({}, {"broadcast_bytes": 0}):
@@ -527,6 +563,10 @@ def test_line_edge_cases(odd, empty):
     out = linededup.drop_lines(odd, min_docs=2)
     assert out.columns == odd.columns and out.count() == len(TEXTS) + 1
     again = linededup.drop_lines(odd, min_docs=2, broadcast_bytes=0)
+    clashing = odd.withColumn("text_hash", F.lit("mine")).withColumn("dropped_lines", F.lit(1))
+    for options in ({}, {"broadcast_bytes": 0}):
+        kept = linededup.drop_lines(clashing, min_docs=2, **options)
+        assert kept.columns == clashing.columns and kept.where("text_hash = 'mine' and dropped_lines = 1").count() == len(TEXTS) + 1
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
     assert sorted(map(key, out.collect())) == sorted(map(key, again.collect()))
     assert linededup.digest(empty).count() == 0 and linededup.drop_lines(empty).count() == 0
