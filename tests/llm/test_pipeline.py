@@ -6,19 +6,35 @@ import struct
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_operators import plain_components, plain_fingerprint, plain_lines
+from test_operators import plain_lines
 
 import corpus_pipeline
 from attesta.llm import bpe, decontam, quality, shinglesim
 from attesta.llm.common import held_out
 
 
+def plain_pairs(texts):
+    """Pairs with a Jaccard similarity of five-word shingles of at least 0.8, by comparing all."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    return [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def plain_groups(texts):
+    """The least number that each text reaches by such pairs."""
+    root = list(range(len(texts)))
+    for i, j in plain_pairs(texts):
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
 def test_run_equals_plain_stages(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     score = quality.learn(docs, labels, ~held_out(F.col("doc_id"))).scorer()
     left = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if score(r.text) >= 0.7]
     left = [(i, kept) for (i, _), (_, _, kept) in zip(left, plain_lines([t for _, t in left], 10))]
-    groups = plain_components([plain_fingerprint(t) for _, t in left])
+    groups = plain_groups([t for _, t in left])
     left = [x for k, x in enumerate(left) if groups[k] == k]
     items = [decontam.words_of(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
 
@@ -39,21 +55,16 @@ def test_run_equals_plain_stages(spark, data):
 
 def test_stages_keep_the_columns_and_take_odd_rows(spark, data, tmp_path):
     schema = spark.read.parquet(f"{data}/documents.parquet").schema
-    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "words " * 20_000, None, "s", 1), (2, "words " * 20_000, None, "s", 1), (3, "a b c d e", "en", "s", 9)]
-    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "words " * 20_000, None, "s", 1), (2, "words " * 20_000, None, "s", 1), (2, "other text of that id", None, "s", 1), (3, "a b c d e", "en", "s", 9)]
+    odd = spark.createDataFrame(rows, schema)
+    more = odd.selectExpr("*", "1 as h", "'x' as root", "2L as node", "3 as text_hash", "4 as dropped_lines", "5 as found", "6 as key", "7 as bucket", "true as stays")
+    for docs in (odd, more, odd.limit(0)):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, data)
             assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
             out.count()
 
 
-def plain_pairs(texts):
-    """Pairs with a Jaccard similarity of five-word shingles of at least 0.8, by comparing all."""
-    words = [(t or "").encode().lower().split() for t in texts]
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
-    return [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-
-
 def test_copies_equal_brute_force_jaccard(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rng, rows = random.Random(4), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
@@ -64,10 +75,7 @@ def test_copies_equal_brute_force_jaccard(spark, data):
             copy[k] = f"edit{n}x{k}"
         rows.append((10_000 + n, " ".join(copy)))
     rows += [(20_000, None), (20_001, ""), (20_002, "one two"), (20_003, "One  two")]
-    root = list(range(len(rows)))
-    for i, j in plain_pairs([t for _, t in rows]):
-        a, b = root[i], root[j]
-        root = [min(a, b) if x in (a, b) else x for x in root]
+    root = plain_groups([t for _, t in rows])
     want = {i: rows[root[k]][0] for k, (i, _) in enumerate(rows)}
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in shinglesim.near_duplicates(frame).collect()} == want
