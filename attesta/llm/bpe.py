@@ -24,6 +24,7 @@ from tokenizers import Tokenizer
 from .common import map_columns, worker_state
 
 END = "</w>"
+REMEMBERED = 250_000
 #: Above every rank.
 NONE = 1 << 40
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -63,7 +64,8 @@ class Memo(dict):
 class ForcedBoundaryBPE:
     """Encodes and decodes with a word-end BPE vocabulary in the JSON form of the public tokenizers library."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, remembered: int = REMEMBERED):
+        """remembered: words in a generation of the memory."""
         spec = json.loads(raw)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -81,9 +83,9 @@ class ForcedBoundaryBPE:
         self.raw, self.library = raw, None
         self.inside = {p for t in self.vocab for u in [t.removesuffix(END)] for p in zip(u, u[1:])}
         self.cut_specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fragments = Memo(self._fragment, most=100_000)
-        self.chunks = Memo(self._chunk)
-        self.pieces = Memo(self._piece, longest=1024)
+        self.fragments = Memo(self._fragment, most=remembered * 2 // 5)
+        self.chunks = Memo(self._chunk, most=remembered)
+        self.pieces = Memo(self._piece, most=remembered, longest=1024)
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Lowest rank first, leftmost first."""
@@ -190,9 +192,9 @@ class ForcedBoundaryBPE:
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
-def tokenizer(raw: bytes) -> ForcedBoundaryBPE:
+def tokenizer(raw: bytes, remembered: int = REMEMBERED) -> ForcedBoundaryBPE:
     """One per worker process; its memory of words lasts from task to task."""
-    return worker_state("bpe", raw, ForcedBoundaryBPE)
+    return worker_state(f"bpe {remembered}", raw, lambda raw: ForcedBoundaryBPE(raw, remembered))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,12 +221,15 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return map_columns(rows, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text string", make)
 
 
-def digest(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without moving the ids."""
+def digest(df: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without moving the ids.
+
+    remembered: words in memory, about 400 bytes each in two generations; fewer take less memory and more time.
+    """
     raw = df.sparkSession.sparkContext.broadcast(open(path, "rb").read())
 
     def make():
-        bpe = tokenizer(raw.value)
+        bpe = tokenizer(raw.value, remembered)
 
         def run(keys, texts):
             n, ids, decoded = [], [], []

@@ -89,7 +89,7 @@ class SubwordClassifier:
         """A function from a text to the probability of label 1."""
         feature = self.feature
         repeated = float(feature[REPEATED])
-        memo = Memo(lambda w: (float(feature[f := features(w)].sum()), len(f)), most=150_000)
+        memo = Memo(lambda w: (float(feature[f := features(w)].sum()), len(f)), most=80_000)
 
         def score(text: str | None) -> float:
             words = (text or "").split()
