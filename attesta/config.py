@@ -45,17 +45,17 @@ NEGATIONS = ["not", "never", "no longer", "cannot", "can't", "doesn't", "does no
 # Patterns of text that addresses a reading machine; case doesn't matter.
 INJECTION_PATTERNS = {
     "instruction": [
-        r"ignore\s+(all\s+)?(previous|above|prior)\s+instructions",
-        r"disregard\s+(all\s+)?(previous|above|prior)\s+instructions",
-        r"system\s+prompt",
-        r"developer\s+message",
-        r"you\s+are\s+now",
-        r"act\s+as",
-        r"follow\s+these\s+instructions",
-        r"do\s+not\s+tell\s+(the\s+)?user",
+        r"ignore (all )?(previous|above|prior) instructions",
+        r"disregard (all )?(previous|above|prior) instructions",
+        r"system prompt",
+        r"developer message",
+        r"you are now",
+        r"act as",
+        r"follow these instructions",
+        r"do not tell (the )?user",
     ],
-    "credential": [r"api[_\s-]?key", r"access\s+token", r"password", r"cookie", r"secret", r"credential"],
-    "exfiltration": [r"send\s+.*\s+(to|via)\s+https?://", r"post\s+.*\s+(to|via)\s+https?://", r"exfiltrat", r"upload\s+.*(secret|credential|token|cookie)"],
+    "credential": [r"api[_ -]?key", r"access token", r"password", r"cookie", r"secret", r"credential"],
+    "exfiltration": [r"send .* (to|via) https?://", r"post .* (to|via) https?://", r"exfiltrat", r"upload .* (secret|credential|token|cookie)"],
 }
 
 # Hosts and paths of source classes.

@@ -12,7 +12,7 @@ from ..plans.stage import staged
 from .chunk import chunk_array, match_headings
 from .dom import clean
 from .provenance import prepared_blocks, prepared_chunks, source_blocks
-from .rank import confidence, context_text, priority, rank, select, with_tasks
+from .rank import confidence, context_text, priority, rank, select
 from .safety import scan
 
 
@@ -37,7 +37,7 @@ def capsules(pages: DataFrame, tasks: list[str], max_tokens: int = DEFAULTS.max_
     safe = scan(base, F.col("text"), F.map_values("metadata"), F.col("hidden"), F.col("comments"))
     own = staged(safe, _heads=match_headings(F.col("headings")), _meta_text=metadata_text(F.col("metadata")), _data_text=structured_text(F.col("json_ld"), F.col("microdata")), _text=context_base(F.col("text"), F.col("metadata"), F.col("json_ld"), F.col("microdata")))
     chunked = staged(own, _all=chunk_array(F.col("_text"), F.col("_heads"), config), _blocks=prepared_blocks(F.col("blocks")))
-    ranked = rank(with_tasks(chunked, tasks), F.col("_all"), F.col("_meta_text"), F.col("_data_text"), config)
+    ranked = rank(chunked, F.col("_all"), tasks, F.col("_meta_text"), F.col("_data_text"), config)
     chosen = staged(select(ranked, max_tokens, config.min_score), context=context_text(F.col("selected")), _prepared=prepared_chunks(F.col("selected")))
     traced = F.transform("_prepared", lambda c: c.dropFields("match", "terms").withField("source_blocks", source_blocks(c["match"], c["terms"], F.col("_blocks"))))
     return chosen.select(

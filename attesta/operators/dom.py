@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 from html.parser import HTMLParser
@@ -28,6 +29,9 @@ SHUTS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 SCOPES = frozenset("html body article aside div footer form header main nav ol section table ul dl blockquote".split())
 BREAKS = frozenset("address article aside blockquote dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 
+#: Pages that are Python objects at a time.
+SLICE = 64
+
 CLEAN = (
     "title string, byline string, excerpt string, site_name string, text string, headings array<string>, "
     "blocks array<struct<id:int,tag:string,text:string,dom_path:string,line_start:int,line_end:int,section:string,section_path:array<string>>>, "
@@ -38,12 +42,13 @@ CLEAN = (
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "items", "line_start", "line_end")
+    __slots__ = ("tag", "attrs", "parent", "items", "line_start", "line_end", "place")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None, line: int):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.items: list[Element | str] = []
         self.line_start = self.line_end = line
+        self.place = 1  # among the siblings of its tag
 
     def walk(self) -> Iterator[Element]:
         todo = [self]
@@ -71,15 +76,18 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("#document", {}, None, 1)
         self.open = [self.root]
+        self.opened: Counter = Counter()  # by tag: what isn't open is not looked for
 
     def shut(self, k: int) -> None:
         line = self.getpos()[0]
         while len(self.open) > k:
-            self.open.pop().line_end = line
+            e = self.open.pop()
+            e.line_end = line
+            self.opened[e.tag] -= 1
 
     def handle_starttag(self, tag, attrs):
         shut = SHUTS.get(tag) or ({"p"} if tag in SHUTS_P else set())
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if any(self.opened[t] for t in shut) else ():
             if self.open[k].tag in shut:
                 self.shut(k)
                 break
@@ -89,6 +97,7 @@ class TreeBuilder(HTMLParser):
         self.open[-1].items.append(e)
         if tag not in VOID:
             self.open.append(e)
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -96,7 +105,7 @@ class TreeBuilder(HTMLParser):
             self.shut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self.opened[tag] else ():
             if self.open[k].tag == tag:
                 self.shut(k)
                 return
@@ -139,8 +148,14 @@ def is_hidden(e: Element) -> bool:
 
 
 def prune(root: Element) -> None:
+    """Takes noise out, and numbers what is left among its siblings."""
     for e in root.walk():
         e.items = [x for x in e.items if isinstance(x, str) or not is_noise(x)]
+        places: Counter = Counter()
+        for x in e.items:
+            if isinstance(x, Element):
+                places[x.tag] += 1
+                x.place = places[x.tag]
 
 
 def main_root(root: Element) -> Element:
@@ -155,12 +170,7 @@ def css(name: str) -> str:
 def selector(e: Element) -> str:
     if e.attrs.get("id"):
         return f"{e.tag}#{css(e.attrs['id'])}"
-    n = 1
-    for x in e.parent.items if e.parent else ():
-        if x is e:
-            break
-        n += isinstance(x, Element) and x.tag == e.tag
-    return e.tag + "".join(f".{css(c)}" for c in e.attrs.get("class", "").split()[:2]) + f":nth-of-type({n})"
+    return e.tag + "".join(f".{css(c)}" for c in e.attrs.get("class", "").split()[:2]) + f":nth-of-type({e.place})"
 
 
 def dom_path(e: Element) -> str:
@@ -310,7 +320,7 @@ def clean(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(struct)
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             rows = [{"page_id": p, "url": u} | clean_page(h, u) | raw_facts(h) for p, u, h in zip(*(c.to_pylist() for c in batch.columns))]
             for r in rows:
                 r["metadata"] = list(r["metadata"].items())

@@ -21,32 +21,40 @@ def with_tasks(df: DataFrame, tasks: list[str]) -> DataFrame:
     return df.withColumn("_t", F.explode(each)).withColumn("task_id", F.col("_t.task_id")).withColumn("task", F.col("_t.task")).drop("_t")
 
 
-def rank(df: DataFrame, chunks: Column, metadata: Column | None = None, structured: Column | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """df (with task) plus `ranked`: its chunks with scores, best first.
+def counted(df: DataFrame, chunks: Column, vocabulary: Column) -> DataFrame:
+    """df with `_chunks`: the chunks with their number of tokens and those tokens, of text and heading, that are in the vocabulary.
+
+    A chunk's text is split once, however many tasks it is ranked for.
+    """
+    known = lambda ts: F.filter(ts, lambda t: F.array_contains(F.col("_vocabulary"), t))
+    split = staged(df, _vocabulary=vocabulary, _split=F.transform(chunks, lambda c: c.withField("tokens", tokens(c["text"]))))
+    slim = lambda c: c.withField("length", F.size(c["tokens"])).withField("tokens", known(c["tokens"])).withField("heading", known(tokens(F.coalesce(c["section"], F.lit("")))))
+    return staged(split, _chunks=F.transform("_split", slim)).drop("_split", "_vocabulary")
+
+
+def rank(df: DataFrame, chunks: Column, tasks: list[str] | None = None, metadata: Column | None = None, structured: Column | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """df, for each of tasks (or with a column task of its own), plus `ranked`: its chunks with scores, best first.
 
     metadata, structured: texts of what the page says of itself, for words that it and a chunk share.
     """
     k1, b = config.k1, config.b
     none = F.array().cast("array<string>")
-    words = staged(
-        df,
-        _chunks=F.transform(chunks, lambda c: c.withField("tokens", tokens(c["text"]))),
-        _terms=task_terms(F.col("task")),
-        _phrases=phrases(F.col("task")),
-        _meta=none if metadata is None else F.array_distinct(tokens(metadata)),
-        _data=none if structured is None else F.array_distinct(tokens(structured)),
-    )
+    vocabulary = task_terms(F.col("task")) if tasks is None else F.array_distinct(F.flatten(F.array(*[task_terms(F.lit(t)) for t in tasks]))) if tasks else none
+    own = counted(df, chunks, vocabulary).drop(*(["chunks"] if "chunks" in df.columns else []))
+    shown = lambda text: none if text is None else F.array_distinct(tokens(text))
+    own = staged(own, _meta=shown(metadata), _data=shown(structured))
+    words = staged(own if tasks is None else with_tasks(own, tasks), _terms=task_terms(F.col("task")), _phrases=phrases(F.col("task")))
     all_chunks, terms, n = F.col("_chunks"), F.col("_terms"), F.size("_chunks")
-    counted = staged(
+    frequencies = staged(
         words,
-        _average=F.greatest(F.aggregate(all_chunks, F.lit(0.0), lambda s, c: s + F.size(c["tokens"])) / F.greatest(n, F.lit(1)), F.lit(1.0)),
+        _average=F.greatest(F.aggregate(all_chunks, F.lit(0.0), lambda s, c: s + c["length"]) / F.greatest(n, F.lit(1)), F.lit(1.0)),
         _df=F.transform(terms, lambda t: F.struct(t.alias("t"), F.size(F.filter(all_chunks, lambda c: F.array_contains(c["tokens"], t))).alias("df"))),
     )
-    weighed = staged(counted, _idf=F.transform("_df", lambda x: F.struct(x["t"].alias("t"), F.log(1 + (n - x["df"] + 0.5) / F.greatest(x["df"] + 0.5, F.lit(1.0))).alias("idf"))))
+    weighed = staged(frequencies, _idf=F.transform("_df", lambda x: F.struct(x["t"].alias("t"), F.log(1 + (n - x["df"] + 0.5) / F.greatest(x["df"] + 0.5, F.lit(1.0))).alias("idf"))))
     empty = F.size("_terms") == 0
 
     def bm25(c: Column) -> Column:
-        stretch = k1 * (1 - b + b * F.size(c["tokens"]) / F.col("_average"))
+        stretch = k1 * (1 - b + b * c["length"] / F.col("_average"))
         found = F.transform("_idf", lambda x: F.struct(x["idf"].alias("idf"), F.size(F.filter(c["tokens"], lambda v: v == x["t"])).alias("tf")))
         return F.aggregate(F.filter(found, lambda x: x["tf"] > 0), F.lit(0.0), lambda s, x: s + x["idf"] * (x["tf"] * (k1 + 1)) / (x["tf"] + stretch))
 
@@ -55,13 +63,13 @@ def rank(df: DataFrame, chunks: Column, metadata: Column | None = None, structur
         parts = {
             "bm25": F.when(empty, F.when(c["chunk_id"] == 1, 1.0).otherwise(0.0)).otherwise(bm25(c)),
             "phrase": F.when(empty, 0.0).otherwise(F.size(F.filter("_phrases", lambda p: F.instr(F.lower(c["text"]), p) > 0)) * config.phrase_bonus),
-            "heading": F.when(empty, 0.0).otherwise(F.size(F.array_intersect(terms, tokens(F.coalesce(c["section"], F.lit(""))))) * config.heading_boost),
+            "heading": F.when(empty, 0.0).otherwise(F.size(F.array_intersect(terms, c["heading"])) * config.heading_boost),
             "metadata": F.size(F.array_intersect(shared, F.col("_meta"))) * config.metadata_boost,
             "structured_data": F.size(F.array_intersect(shared, F.col("_data"))) * config.structured_boost,
             "position": F.when(~empty & (c["chunk_id"] == 1), config.position_prior).otherwise(0.0),
         }
         matched = F.filter(terms, lambda t: F.array_contains(c["tokens"], t))
-        return c.dropFields("tokens").withField("matched_terms", matched).withField("breakdown", F.struct(*[v.cast("double").alias(k) for k, v in parts.items()]))
+        return c.dropFields("tokens", "length", "heading").withField("matched_terms", matched).withField("breakdown", F.struct(*[v.cast("double").alias(k) for k, v in parts.items()]))
 
     total = lambda c: sum((c["breakdown"][k] for k in ("phrase", "heading", "metadata", "structured_data", "position")), c["breakdown"]["bm25"])
     rows = staged(weighed, _rows=F.transform(all_chunks, scored))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
+from ..config import INJECTION_PATTERNS, EngineConfig
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.url import cache_key, source_class, unwrap_redirect
@@ -208,7 +208,7 @@ def json_ld(spark, sf_dir):
     return p.select("page_id", H.json_ld(html, 1000).alias("all"), H.json_ld(html).alias("j")).select("page_id", F.size("all").alias("found"), F.element_at("j", 1).alias("first_item"), F.size("j").alias("kept"))
 
 
-@query()
+@query("""select page_id, '[{"type":"T","properties":{"name":["N ' || page_id || '"],"url":["' || regexp_extract(url, '^[a-z]+://[^/?#]+') || '/u"],"in":["y"]}},{"properties":{"in":["y"]}}]' as microdata from pages""")
 def microdata(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     item = F.concat(F.lit('<div itemscope itemtype="T"><span itemprop="name">N '), F.col("page_id").cast("string"), F.lit('</span><a itemprop="url" href="/u">x</a><div itemscope><b itemprop="in">y</b></div></div>'), "html")
@@ -239,12 +239,23 @@ def blocks(spark, sf_dir):
     return dom.clean(table(spark, sf_dir, "pages")).select("page_id", F.inline("blocks")).select("page_id", "id", "tag", "text", "section")
 
 
-@query()
+def _line_ends(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, chr(10), '')))"
+
+
+@query(f"""with {_BLOCKS}, before as (select page_id, i, sum({_line_ends('r')}) over (partition by page_id order by i) as until, {_line_ends('r')} as own, {_line_ends("regexp_extract(r, '(?s)^(.*?)<h1>', 1)")} as ahead from each_block),
+head as (select page_id, {_line_ends("regexp_extract(html, '(?s)^(.*?)<article>', 1)")} as above from pages),
+titles as (select page_id, text as title from blocks where tag = 'h1')
+select b.page_id, cast(id as integer) as id, 'body:nth-of-type(1) > article:nth-of-type(1) > ' || tag || ':nth-of-type(' || nth || ')' as dom_path, cast(1 + above + until - own + ahead as integer) as line_start, cast(1 + above + until as integer) as line_end, coalesce(title, '') as section_path
+from blocks b join before using (page_id, i) join head using (page_id) left join titles using (page_id)""")
 def dom_paths(spark, sf_dir):
     b = dom.clean(table(spark, sf_dir, "pages")).select("page_id", F.inline("blocks"))
     return b.select("page_id", "id", "dom_path", "line_start", "line_end", F.array_join("section_path", " > ").alias("section_path"))
 
 
+_PAGE_TEXTS = "select page_id as doc_id, text from cleaned", "select page_id as doc_id, text as heading from tagged where tag = 'h1'"
+
+
 def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose lines are paragraphs."""
     return table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
@@ -262,7 +273,7 @@ def chunks(spark, sf_dir):
 
 def ranked_documents(spark: SparkSession, sf_dir: str, tasks: list[str]) -> DataFrame:
     chunked = staged(spread(spark, sf_dir), chunks=chunk.chunk_array(F.col("text"))).select("doc_id", "source", "chunks")
-    return rank.rank(rank.with_tasks(chunked, tasks), F.col("chunks")).drop("chunks")
+    return rank.rank(chunked, F.col("chunks"), tasks)
 
 
 @query(f"with recursive {S.ranked(TASKS)} select doc_id, task_id, chunk_id, round(bm25, 4) as bm25, phrase, heading, position, score, normalized_score, array_to_string(matched_terms, ' ') as matched, cast(rank as integer) as rank from ranked")
@@ -296,7 +307,35 @@ def retrieval_confidence(spark, sf_dir):
     return c.select("doc_id", "task_id", "c.score", F.array_join("c.reasons", " ").alias("reasons"), "c.level")
 
 
-@query()
+_SIGNALS = f"select doc_id, list_distinct({S.tokens('substr(text, 1, 200)')}) as meta, list_distinct({S.tokens('substr(text, 201, 300)')}) as data from documents"
+
+
+@query(f"with recursive {S.ranked(TASKS, signals=_SIGNALS)} select doc_id, task_id, chunk_id, cast(metadata as double) as metadata, cast(structured_data as double) as structured_data, score, normalized_score, cast(rank as integer) as rank from ranked")
+def boosted_rank(spark, sf_dir):
+    """Ranking with what a page says of itself: a document's first letters as metadata, the next as structured data."""
+    chunked = staged(spread(spark, sf_dir), chunks=chunk.chunk_array(F.col("text"))).join(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("meta"), F.substring("text", 201, 300).alias("data")), "doc_id")
+    r = rank.rank(chunked.select("doc_id", "chunks", "meta", "data"), F.col("chunks"), TASKS, F.col("meta"), F.col("data")).select("doc_id", "task_id", F.posexplode("ranked").alias("pos", "c"))
+    return r.select("doc_id", "task_id", "c.chunk_id", "c.breakdown.metadata", "c.breakdown.structured_data", "c.score", "c.normalized_score", (F.col("pos") + 1).alias("rank"))
+
+
+# Of the selected chunks, best first, those up to the one that completes three different sentences.
+_SENTENCES = f"list_filter(list_transform({S.split_sentences(S.sub('text', r'\s+', "' '"), '[A-Z0-9]')}, lambda x: {S.strip('x')}), lambda x: length(x) between 30 and 280)"
+_PRIORITY = f"""best as (select *, row_number() over (partition by doc_id, task_id order by normalized_score desc, chunk_id) as n, {_SENTENCES} as found from selected),
+said as (select doc_id, task_id, n, unnest(found) as sentence, generate_subscripts(found, 1) as i from best),
+fresh as (select doc_id, task_id, sentence, min(n * 1000000 + i) as place from said group by all),
+counted as (select doc_id, task_id, place, row_number() over (partition by doc_id, task_id order by place) as nth, sentence from fresh),
+ends as (select doc_id, task_id, min(place // 1000000) filter (nth = 3) as last from counted group by all),
+looked as (select b.* from best b left join ends e using (doc_id, task_id) where e.last is null or n <= e.last),
+heads as (select doc_id, task_id, section, min(n) as n from looked where coalesce(section, '') <> '' group by all),
+short as (select *, row_number() over (partition by doc_id, task_id order by n) as nth from heads),
+capsule as (select l.doc_id, l.task_id,
+ (select coalesce(string_agg(sentence, ' ' order by place), '') from counted c where c.doc_id = l.doc_id and c.task_id = l.task_id and nth <= 3) as tldr,
+ (select coalesce(string_agg(section, ' | ' order by n), '') from short s where s.doc_id = l.doc_id and s.task_id = l.task_id and nth <= 5) as top_sections,
+ '[' || string_agg(chunk_id, ',' order by n) filter (n <= 3) || ']' as highlight_chunk_ids from looked l group by all)"""
+
+
+@query(f"""with recursive {S.ranked(TASKS)}, {S.selected(BUDGET)}, {_PRIORITY}
+select doc_id, task_id, coalesce(tldr, '') as tldr, coalesce(top_sections, '') as top_sections, coalesce(highlight_chunk_ids, '[]') as highlight_chunk_ids from documents cross join tasks left join capsule using (doc_id, task_id)""")
 def priority_capsule(spark, sf_dir):
     r = staged(rank.select(ranked_documents(spark, sf_dir, TASKS), BUDGET), p=rank.priority(F.col("selected"))).select("doc_id", "task_id", "p")
     return r.select("doc_id", "task_id", "p.tldr", F.array_join("p.top_sections", " | ").alias("top_sections"), F.to_json("p.highlight_chunk_ids").alias("highlight_chunk_ids"))
@@ -356,7 +395,22 @@ def injection_metrics(spark, sf_dir):
     return evaluate.detection_metrics(scanned(spark, sf_dir), (F.col("page_id") % 7).between(1, 5), F.col("warning_count") > 0)
 
 
-@query()
+_FAMILIES = ", ".join(f"({n}, {S.q(family)}, {S.q('(?i)' + p)})" for n, (family, p) in enumerate((f, p) for f, ps in INJECTION_PATTERNS.items() for p in ps))
+_INJECTED = f"select page_id, replace(html, '</h1>', '</h1>' || {S.words_list(_PAYLOADS)}[page_id % 7 + 1] || '<p>{'Plain words of no weight stand here. ' * 8}</p>') as html from original"
+# What a page shows, hides and comments; the hidden elements are the payload's.
+_PLACES = f"""shown as (select page_id, 0 as place, 'visible_text' as location, text from cleaned),
+hiding as (select page_id, unnest(string_split_regex(regexp_extract({S.words_list(_PAYLOADS)}[page_id % 7 + 1], '(?s)^<(?:div style|span hidden).*$'), '(?:<[^>]*>)+')) as text, generate_subscripts(string_split_regex(regexp_extract({S.words_list(_PAYLOADS)}[page_id % 7 + 1], '(?s)^<(?:div style|span hidden).*$'), '(?:<[^>]*>)+'), 1) as place from original where contains(html, '</h1>')),
+said as (select page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) as list from pages),
+remarks as (select page_id, unnest(list) as text, generate_subscripts(list, 1) as place from said),
+places as (select * from shown union all select page_id, 100 + place, 'hidden_text', text from hiding where text <> '' union all select page_id, 1000 + place, 'html_comment', text from remarks)"""
+
+
+@query(f"""with original as (select page_id, html from pages), pages as ({_INJECTED}), {_CLEAN}, {_PLACES},
+patterns as (select * from (values {_FAMILIES}) v(ord, family, pattern)),
+hits as (select *, instr(text, regexp_extract(text, pattern)) - 1 as hit from places, patterns where regexp_matches(text, pattern)),
+snips as (select *, {S.normalize("substr(text, greatest(0, hit - 80) + 1, hit + 180 - greatest(0, hit - 80))")} as snippet from hits)
+select page_id, cast(row_number() over (partition by page_id order by place, ord) - 1 as integer) as n, case when family <> 'instruction' then family || '_request' when location in ('hidden_text', 'html_comment') then 'hidden_instruction_like_text' else 'instruction_like_text' end as type,
+case when family = 'instruction' and location = 'visible_text' then 'medium' else 'high' end as severity, location, snippet from snips""")
 def injection_warnings(spark, sf_dir):
     w = scanned(spark, sf_dir).select("page_id", F.posexplode("warnings").alias("n", "w"))
     return w.select("page_id", "n", "w.*")
@@ -411,12 +465,29 @@ ordered as (select *, row_number() over (partition by query_id order by combined
 kept as (select * from ordered where rank <= 12)"""
 
 
-@query()
+# Leader clustering as a walk over a query's chunks: the state is the list of leaders (vector or shingles, and score).
+_LEAD = f"""with recursive pool as (select cast(floor(vec_id / 40) as bigint) as query_id, vec_id % 5 as source_index, vec_id as chunk_id, (vec_id * 37 % 101) / 100 as score, embedding as v from embeddings),
+placed as (select *, row_number() over (partition by query_id order by source_index, chunk_id) as k from pool),
+walk as (select query_id, source_index, chunk_id, k, 1 as cluster_id, [{{'v': v, 'score': score}}] as leads from placed where k = 1
+ union all select query_id, source_index, chunk_id, k, case when best > 0 then best else len(leads) + 1 end, case when best = 0 then list_append(leads, {{'v': v, 'score': score}}) else list_transform(leads, lambda l, i: case when i = best and score > l.score then {{'v': v, 'score': score}} else l end) end
+ from (select *, case when list_max(nearness) >= 0.5 then list_position(nearness, list_max(nearness)) else 0 end as best
+  from (select p.*, w.leads, list_transform(w.leads, lambda l: {_cosine('p.v', 'l.v')}) as nearness from walk w join placed p on p.query_id = w.query_id and p.k = w.k + 1)))
+select query_id, source_index, chunk_id, cast(cluster_id as integer) as cluster_id from walk"""
+
+
+@query(_LEAD)
 def leader_clusters(spark, sf_dir):
     return crosssource.cluster(vector_pool(spark, sf_dir).drop("cluster_id"), by_vector=True)
 
 
-@query()
+@query(f"""with recursive dw as (select doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda t: length(t) > 1) as w from documents),
+pool as (select cast(floor(doc_id / 20) as bigint) as query_id, doc_id % 5 as source_index, doc_id as chunk_id, (doc_id * 37 % 101) / 100 as score, case when len(w) >= 4 then {_SH} else [] end as v from dw),
+placed as (select *, row_number() over (partition by query_id order by source_index, chunk_id) as k from pool),
+walk as (select query_id, source_index, chunk_id, k, 1 as cluster_id, [{{'v': v, 'score': score}}] as leads from placed where k = 1
+ union all select query_id, source_index, chunk_id, k, case when best > 0 then best else len(leads) + 1 end, case when best = 0 then list_append(leads, {{'v': v, 'score': score}}) else list_transform(leads, lambda l, i: case when i = best and score > l.score then {{'v': v, 'score': score}} else l end) end
+ from (select *, coalesce(list_position(nearness, true), 0) as best
+  from (select p.*, w.leads, list_transform(w.leads, lambda l: len(p.v) > 0 and len(l.v) > 0 and len(list_intersect(p.v, l.v)) >= 0.18 * (len(p.v) + len(l.v) - len(list_intersect(p.v, l.v)))) as nearness from walk w join placed p on p.query_id = w.query_id and p.k = w.k + 1)))
+select query_id, source_index, chunk_id, cast(cluster_id as integer) as cluster_id from walk""")
 def shingle_clusters(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("query_id"), (F.col("doc_id") % 5).alias("source_index"), F.col("doc_id").alias("chunk_id"), ((F.col("doc_id") * 37 % 101) / 100).alias("normalized_score"), "text")
     return crosssource.cluster(d, by_vector=False)
@@ -458,23 +529,27 @@ def stance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("task_id").alias("claim_id"), "doc_id", "source", "stances")
 
 
-_STANCE = f"""{S.ranked(CLAIMS)},
+def stance_sql(chunks: str = S.CHUNKS) -> str:
+    return f"""{S.ranked(CLAIMS, chunks)},
 claims as (select task_id, list_distinct({S.claim_words('task')}) as terms from tasks),
 near as (select r.*, c.terms, len(list_intersect(c.terms, r.matched_terms)) / len(c.terms) as coverage from ranked r join claims c using (task_id) where rank <= 6 and normalized_score >= 0.25),
 stance as (select doc_id, task_id, chunk_id, normalized_score, coverage, len(list_filter({S.split_sentences('lower(text)')}, lambda s: len(list_filter(terms, lambda t: contains(s, t))) > 0 and regexp_matches(s, {S.negation_pattern()}))) > 0 as negated from near where coverage >= 0.4),
 sums as (select doc_id, task_id, coalesce(sum(normalized_score) filter (not negated), 0.0) as s, coalesce(sum(normalized_score) filter (negated), 0.0) as r from stance group by all),
-verdicts as (select doc_id, t.task_id, coalesce(s, 0.0) as s, coalesce(r, 0.0) as r from documents cross join tasks t left join sums using (doc_id, task_id)),
+verdicts as (select doc_id, t.task_id, coalesce(s, 0.0) as s, coalesce(r, 0.0) as r from (select distinct doc_id from sources) cross join tasks t left join sums using (doc_id, task_id)),
 decided as (select *, case when s > r * 1.5 then 'supported' when r > s * 1.5 then 'refuted' else 'unclear' end as verdict, round(least(1.0, abs(s - r) / 2 + 0.2), 4) as c from verdicts)"""
 
 
-@query(f"with recursive {_STANCE} select task_id as claim_id, doc_id, chunk_id, normalized_score as score, case when negated then 'refute' else 'support' end as stance, round(coverage, 4) as coverage from stance")
+@query(f"with recursive {stance_sql()} select task_id as claim_id, doc_id, chunk_id, normalized_score as score, case when negated then 'refute' else 'support' end as stance, round(coverage, 4) as coverage from stance")
 def claim_stance(spark, sf_dir):
     return stance_rows(spark, sf_dir).select("claim_id", "doc_id", F.inline("stances")).select("claim_id", "doc_id", "chunk_id", "score", "stance", "coverage")
 
 
-@query(f"""with recursive {_STANCE}, g as (select task_id, count(*) as n_sources, count(*) filter (verdict = 'supported') as ns, count(*) filter (verdict = 'refuted') as nr, avg(c) filter (verdict = 'supported') as cs, avg(c) filter (verdict = 'refuted') as cr from decided group by all)
+_VERDICT = """g as (select task_id, count(*) as n_sources, count(*) filter (verdict = 'supported') as ns, count(*) filter (verdict = 'refuted') as nr, avg(c) filter (verdict = 'supported') as cs, avg(c) filter (verdict = 'refuted') as cr from decided group by all)
 select task_id as claim_id, case when ns > 0 and nr = 0 then 'supported' when nr > 0 and ns = 0 then 'refuted' else 'unclear' end as verdict, round(case when ns > 0 and nr = 0 then cs when nr > 0 and ns = 0 then cr when ns > 0 then 0.4 else 0.1 end, 4) as confidence,
-case when ns > 0 and nr = 0 then ns || '_sources_support' when nr > 0 and ns = 0 then nr || '_sources_refute' when ns > 0 then 'sources_conflict' else 'no_source_returned_a_verdict' end as reason, n_sources from g""")
+case when ns > 0 and nr = 0 then ns || '_sources_support' when nr > 0 and ns = 0 then nr || '_sources_refute' when ns > 0 then 'sources_conflict' else 'no_source_returned_a_verdict' end as reason, n_sources from g"""
+
+
+@query(f"with recursive {stance_sql()}, {_VERDICT}")
 def claim_verdict(spark, sf_dir):
     per = stance_rows(spark, sf_dir).select("claim_id", verify.source_verdict(F.col("stances")).alias("v")).select("claim_id", "v.*")
     return verify.combine(per)
@@ -484,10 +559,22 @@ _LINE = f"{S.normalize('l')}"
 _FIELDS = [("title", ["title", "heading", "name"], "string"), ("count", ["count"], "number"), ("active", ["active"], "boolean"), ("contact.email", ["email", "e-mail", "contact"], "string"), ("contact.location", ["location", "address", "city"], "string")]
 
 
-def _field_sql(path: str, terms: list[str], kind: str) -> str:
+def _field_sql(path: str, terms: list[str], kind: str, key: str = "conv_id, turn") -> str:
     score = " + ".join([*(f"case when contains(lower(line), {S.q(t)}) then 1 else 0 end" for t in terms), {"number": "case when regexp_matches(line, '[0-9]') then 2 else 0 end", "boolean": "case when regexp_matches(line, '(?i)\\b(yes|no|available|included|enabled|disabled|not|without)\\b') then 1 else 0 end", "string": "case when length(line) < 220 then 1 else 0 end"}[kind]])
     value = {"number": "replace(nullif(regexp_extract(line, '-?[0-9]+(?:[,.][0-9]+)?'), ''), ',', '')", "boolean": "case when regexp_matches(line, '(?i)\\b(no|not|without|unavailable|disabled)\\b') then 'false' else 'true' end", "string": "line"}[kind]
-    return f"select conv_id, turn, {S.q(path)} as path, {value} as value, round(least(0.85, 0.35 + score * 0.08), 2) as confidence from (select *, {score} as score from lines where true) where score > 0 qualify row_number() over (partition by conv_id, turn order by score desc, n) = 1"
+    return f"select {key}, {S.q(path)} as path, {value} as value, round(least(0.85, 0.35 + score * 0.08), 2) as confidence from (select *, {score} as score from lines where true) where score > 0 qualify row_number() over (partition by {key} order by score desc, n) = 1"
+
+
+def _record_sql(key: str, rows: str) -> str:
+    """Records of the lines; rows: a query of the keys."""
+    fields = [*_FIELDS, ("tags[].name", ["name"], "string")]
+    own = lambda path: f"max(value) filter (path = {S.q(path)})"
+    quoted = lambda path: f"coalesce(cast(to_json({own(path)}) as varchar), 'null')"
+    plain = lambda path: f"coalesce({own(path)}, 'null')"
+    data = f"""'{{"title":' || {quoted("title")} || ',"count":' || {plain("count")} || ',"active":' || {plain("active")} || ',"contact":{{"email":' || {quoted("contact.email")} || ',"location":' || {quoted("contact.location")} || '}},"tags":[]}}'"""
+    unfilled = " || ".join(f"case when {own(path)} is null then {S.q(path + ' ')} else '' end" for path, _, _ in fields)
+    return f"""filled as ({' union all '.join(f'select * from ({_field_sql(*f, key)})' for f in fields)}),
+records as (select {key}, {data} as data, round(least(0.9, count(value) / {len(fields)} * coalesce(avg(confidence) filter (value is not null), 0.0)), 2) as confidence, rtrim({unfilled}) as unfilled from ({rows}) left join filled using ({key}) group by all)"""
 
 
 _TALK = """talk as (select conv_id, turn, text || chr(10) || 'Contact: user' || conv_id || '@mail.example' || chr(10) || 'The count is ' || (turn * 1000 + conv_id) || ' items, not active' as text from conversations),
@@ -507,7 +594,8 @@ def extract_fields(spark, sf_dir):
     return got.where("evidence is not null and path not like '%[]%'").select("id.conv_id", "id.turn", "path", "value", "confidence")
 
 
-@query()
+@query(f"""with {_TALK} lines as (select conv_id, turn, n, {_LINE} as line from raw_lines where length({_LINE}) between 1 and 599),
+{_record_sql("conv_id, turn", "select conv_id, turn from talk")} select conv_id, turn, data, cast(confidence as double) as confidence, unfilled from records""")
 def extract_records(spark, sf_dir):
     r = extract.record(talk(spark, sf_dir), "id", F.col("text"), SCHEMA)
     return r.select("id.conv_id", "id.turn", "data", "confidence", F.array_join("unfilled", " ").alias("unfilled"))
@@ -577,10 +665,47 @@ def search_answers(spark, sf_dir):
     return hits.select("page_id", F.element_at("h", 1)["title"].alias("title"), F.element_at("h", 1)["url"].alias("url"), F.element_at("h", 1)["source_quality"].alias("source_quality"), F.size("h").alias("hits"))
 
 
-@query()
+_TITLE = S.strip(_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))
+_TITLES = f"titles as (select page_id, url, html, nullif({_TITLE}, '') as title, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as host, lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) as path from pages)"
+_PAGE_SIGNALS = f"select page_id as doc_id, list_distinct({S.tokens("'title: ' || coalesce(title, '')")}) as meta, cast([] as varchar[]) as data from titles"
+_SUSPICIOUS = S.q("(?i)" + "|".join(f"({p})" for ps in INJECTION_PATTERNS.values() for p in ps))
+
+
+def _confidence_sql(budget: int) -> str:
+    """After selected(): sure(doc_id, task_id, score, level)."""
+    return f"""g as (select doc_id, task_id, any_value(task) as task, arg_min(normalized_score, chunk_id) as top, arg_min(len(matched_terms), chunk_id) as matched, sum(token_estimate) as used, count(*) as n from selected group by doc_id, task_id),
+f as (select *, len(list_filter({S.words('task')}, lambda t: length(t) > 2)) as terms from g),
+x as (select *, case when terms = 0 then 0.0 else least(1.0, matched / terms) end as share, used / {budget}.0 as fill from f),
+y as (select *, round(least(1.0, top * 0.6 + share * 0.3 + least(fill, 0.5) * 0.2), 4) as score, list_filter([case when top < 0.35 then 'low_top_score' end, case when share < 0.34 and terms > 1 then 'few_query_terms_matched' end, case when n = 1 and fill < 0.2 then 'very_short_evidence' end], lambda r: r is not null) as reasons from x),
+sure as (select doc_id, task_id, score, array_to_string(reasons, ' ') as reasons, case when len(reasons) = 0 and score >= 0.6 then 'high' when len(reasons) >= 2 or score < 0.3 then 'low' else 'medium' end as level from y)"""
+
+
+# The blocks that each selected chunk came from; a page without blocks is one block.
+_TRACED = f"""own_blocks as (select page_id as doc_id, id, text from blocks union all select page_id, 1, text from cleaned where text <> '' and page_id not in (select page_id from blocks)),
+ct as (select *, list_distinct({S.provenance_words('m')}) as terms from (select distinct doc_id, chunk_id, char_start, char_end, {S.one_line('lower(text)')} as m from selected)),
+bt as (select *, list_distinct({S.provenance_words('m')}) as terms from (select doc_id, id, {S.one_line('lower(text)')} as m from own_blocks)),
+o as (select ct.doc_id, chunk_id, id, least(1.0, len(list_intersect(ct.terms, bt.terms)) / len(ct.terms) + case when contains(ct.m, bt.m) then 0.45 when contains(bt.m, ct.m) then 0.65 else 0.0 end) as overlap from ct join bt using (doc_id) where len(ct.terms) > 0),
+best_blocks as (select *, row_number() over (partition by doc_id, chunk_id order by overlap desc, id) as n from o where overlap > 0),
+sources_of as (select doc_id, chunk_id, string_agg(id || '=' || cast(round(overlap, 4) as double), ',' order by overlap desc, id) as found from best_blocks where n <= 5 group by all),
+traced as (select s.doc_id, s.task_id, string_agg(s.chunk_id || '@' || s.char_start || '-' || s.char_end || '[' || coalesce(found, '') || ']', ' ' order by s.chunk_id) as evidence,
+ string_agg('[chunk ' || s.chunk_id || ' | score ' || cast(s.score as double) || ']' || chr(10) || s.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by s.chunk_id) as context from selected s left join sources_of using (doc_id, chunk_id) group by all)"""
+
+
+@query(f"""with recursive {_CLEAN}, {_TITLES}, {S.ranked(TASKS, S.chunks(*_PAGE_TEXTS), _PAGE_SIGNALS)}, {S.selected(EngineConfig().max_tokens)}, {_PRIORITY}, {_confidence_sql(EngineConfig().max_tokens)}, {_TRACED},
+every as (select p.*, t.task_id, cast(ceil(length(html) / 4.0) as integer) as raw from titles p cross join tasks t)
+select e.page_id, e.task_id, title, case when regexp_matches(host, '[.](gov|mil)$') then 'government' when host like '%.edu' then 'academic' when regexp_matches(path, '/(docs|api)') or regexp_matches(lower(coalesce(title, '')), 'developer|reference') then 'documentation' when regexp_matches(path, '/(blog|posts)') then 'blog' when regexp_replace(path, '/+$', '') in ('', '/about') then 'official' else 'unknown' end as source_quality,
+coalesce(context, '') as context, coalesce(c.tldr, '') as tldr, coalesce(c.top_sections, '') as top_sections, coalesce(c.highlight_chunk_ids, '[]') as highlight_chunk_ids, coalesce(s.level, 'low') as level, coalesce(s.score, 0.0) as score,
+case when regexp_matches(k.text || ' ' || coalesce(title, ''), {_SUSPICIOUS}) then 'medium' else 'low' end as risk, round(greatest(0, raw - {S.tokens_estimate("coalesce(context, '')")}) / raw, 4) as savings_ratio, coalesce(evidence, '') as evidence
+from every e join cleaned k using (page_id) left join traced t on t.doc_id = e.page_id and t.task_id = e.task_id left join capsule c on c.doc_id = e.page_id and c.task_id = e.task_id left join sure s on s.doc_id = e.page_id and s.task_id = e.task_id""")
 def context_capsule(spark, sf_dir):
+    """evidence: for each selected chunk its id, offsets and the blocks that it came from, with their overlap."""
     c = capsule.capsules(table(spark, sf_dir, "pages"), TASKS)
-    return c.select("page_id", "task_id", "title", "source_quality", "context", "capsule.tldr", "confidence.level", "confidence.score", "safety.risk", "savings.savings_ratio", F.to_json("evidence").alias("evidence"))
+    blocks = lambda e: F.array_join(F.transform(e["source_blocks"], lambda b: F.concat(b["id"].cast("string"), F.lit("="), b["overlap_score"].cast("string"))), ",")
+    traced = F.transform("evidence", lambda e: F.concat(e["chunk_id"].cast("string"), F.lit("@"), e["char_start"].cast("string"), F.lit("-"), e["char_end"].cast("string"), F.lit("["), blocks(e), F.lit("]")))
+    return c.select(
+        "page_id", "task_id", "title", "source_quality", "context", "capsule.tldr", F.array_join("capsule.top_sections", " | ").alias("top_sections"), F.to_json("capsule.highlight_chunk_ids").alias("highlight_chunk_ids"),
+        "confidence.level", "confidence.score", "safety.risk", "savings.savings_ratio", F.array_join(traced, " ").alias("evidence"),
+    )
 
 
 @query(f"with {_CLEAN} select page_id, {_TRIM} as text, substr(sha256(html), 1, 16) as fingerprint from cleaned")
@@ -589,14 +714,16 @@ def web_read(spark, sf_dir):
     return c.select("page_id", T.trim_to_budget(F.col("text"), 200).alias("text"), "fingerprint")
 
 
-@query()
+@query(f"with recursive {_CLEAN}, {stance_sql(S.chunks(*_PAGE_TEXTS))}, {_VERDICT}")
 def web_verify(spark, sf_dir):
     c = staged(dom.clean(table(spark, sf_dir, "pages")), heads=chunk.match_headings(F.col("headings"))).select("page_id", chunk.chunk_array(F.col("text"), F.col("heads")).alias("chunks"))
-    r = staged(verify.stances(rank.rank(rank.with_tasks(c, CLAIMS), F.col("chunks")), F.col("task")), v=verify.source_verdict(F.col("stances")))
+    r = staged(verify.stances(rank.rank(c, F.col("chunks"), CLAIMS), F.col("task")), v=verify.source_verdict(F.col("stances")))
     return verify.combine(r.select(F.col("task_id").alias("claim_id"), "v.*"))
 
 
-@query()
+@query(f"""with {_CLEAN}, raw_lines as (select page_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from cleaned),
+lines as (select page_id, n, {_LINE} as line from raw_lines where length({_LINE}) between 1 and 599),
+{_record_sql("page_id", "select page_id from pages")} select page_id, data, cast(confidence as double) as confidence, unfilled from records""")
 def web_extract(spark, sf_dir):
     c = dom.clean(table(spark, sf_dir, "pages"))
     return extract.record(c, "page_id", F.col("text"), SCHEMA).select("page_id", "data", "confidence", F.array_join("unfilled", " ").alias("unfilled"))

@@ -90,8 +90,11 @@ def negation_pattern() -> str:
     return q("(^|[^A-Za-z0-9_])(" + "|".join(NEGATIONS) + ")([^A-Za-z0-9_]|$)")
 
 
-PARAGRAPHS = f"""
-texts as (select doc_id, {normalize("replace(text, chr(10), chr(10) || chr(10))")} as t from documents),
+def paragraphs(texts: str) -> str:
+    """texts: a query of doc_id and text."""
+    return f"""
+sources as ({texts}),
+texts as (select doc_id, {normalize("text")} as t from sources),
 parts as (select doc_id, string_split_regex(t, '\\n\\n+') as ps from texts),
 numbered as (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as i from parts),
 placed as (select doc_id, i, p, coalesce(sum(length(p) + 2) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from numbered),
@@ -101,8 +104,12 @@ paragraphs as (
          cast(pos + length(p) - length(regexp_replace(p, '^\\s+', '')) + length({strip("p")}) as integer) as char_end
   from placed where length({strip("p")}) > 0)"""
 
-CHUNKS = f"""{PARAGRAPHS},
-marked as (select *, length(text) <= 80 and not regexp_matches(text, '[.!?]$') and regexp_matches(text, '^[A-Z0-9][A-Za-z0-9 /:_-]+$') as heading from paragraphs),
+
+def chunks(texts: str, headings: str = "select cast(null as bigint) as doc_id, cast(null as varchar) as heading") -> str:
+    """texts: a query of doc_id and text; headings: of doc_id and heading, those a page is known to have."""
+    return f"""{paragraphs(texts)},
+known as (select doc_id, list(lower({one_line("heading")})) as heads from ({headings}) group by doc_id),
+marked as (select p.*, length(text) <= 80 and not regexp_matches(text, '[.!?]$') and regexp_matches(text, '^[A-Z0-9][A-Za-z0-9 /:_-]+$') or coalesce(list_contains(heads, lower({one_line("text")})), false) as heading from paragraphs p left join known using (doc_id)),
 fold as (
   select doc_id, k, 1 as piece, char_start as first, case when heading then text end as section, text, char_start, char_end from marked where k = 1
   union all
@@ -119,7 +126,13 @@ chunks as (
   from pieces where length(text) >= 80)"""
 
 
-def ranked(tasks: list[str], chunks: str = CHUNKS) -> str:
+SPREAD = "select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents"
+PARAGRAPHS = paragraphs(SPREAD)
+CHUNKS = chunks(SPREAD)
+
+
+def ranked(tasks: list[str], chunks: str = CHUNKS, signals: str = "select distinct doc_id, cast([] as varchar[]) as meta, cast([] as varchar[]) as data from chunks") -> str:
+    """signals: a query of doc_id and the tokens of what the page says of itself."""
     rows = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(tasks, 1))
     return f"""{chunks},
 tasks as (select * from (values {rows}) v(task_id, task)),
@@ -136,15 +149,18 @@ bm as (
   from pairs p join toks c on c.doc_id = p.doc_id and c.chunk_id = p.chunk_id
   join stats s on s.doc_id = p.doc_id join freq f on f.doc_id = p.doc_id and f.task_id = p.task_id and f.term = p.term
   group by all),
+signals as ({signals}),
 scored as (
-  select c.doc_id, t.task_id, t.task, c.chunk_id, c.section, c.text, c.token_estimate,
+  select c.doc_id, c.char_start, c.char_end, t.task_id, t.task, c.chunk_id, c.section, c.text, c.token_estimate,
          case when len(t.terms) = 0 then case when c.chunk_id = 1 then 1.0 else 0.0 end else coalesce(b.bm25, 0.0) end as bm25,
          case when len(t.terms) = 0 then 0.0 else len(list_filter(t.phrases, lambda p: contains(lower(c.text), p))) * 1.5 end as phrase,
          case when len(t.terms) = 0 then 0.0 else len(list_filter(t.terms, lambda x: list_contains({tokens("coalesce(c.section, '')")}, x))) * 0.25 end as heading,
          case when len(t.terms) > 0 and c.chunk_id = 1 then 0.05 else 0.0 end as position,
+         len(list_filter(t.terms, lambda x: list_contains(c.toks, x) and list_contains(g.meta, x))) * 0.35 as metadata,
+         len(list_filter(t.terms, lambda x: list_contains(c.toks, x) and list_contains(g.data, x))) * 0.45 as structured_data,
          list_filter(t.terms, lambda x: list_contains(c.toks, x)) as matched_terms
-  from toks c cross join terms t left join bm b on b.doc_id = c.doc_id and b.task_id = t.task_id and b.chunk_id = c.chunk_id),
-topped as (select *, bm25 + phrase + heading + position as raw, max(bm25 + phrase + heading + position) over (partition by doc_id, task_id) as top from scored),
+  from toks c join signals g on g.doc_id = c.doc_id cross join terms t left join bm b on b.doc_id = c.doc_id and b.task_id = t.task_id and b.chunk_id = c.chunk_id),
+topped as (select *, bm25 + phrase + heading + metadata + structured_data + position as raw, max(bm25 + phrase + heading + metadata + structured_data + position) over (partition by doc_id, task_id) as top from scored),
 ranked as (
   select *, round(raw, 4) as score, case when top > 0 then round(raw / top, 4) else 0.0 end as normalized_score,
          row_number() over (partition by doc_id, task_id order by round(raw, 4) desc, chunk_id) as rank
