@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, EngineConfig
-from ..functions.text import cosine, shingles
+from ..functions.text import cosine, negated, preview, shingles, tokens
 
 
 def leaders(similar: Callable, threshold: float, first: bool, scores: list[float], items: list) -> list[int]:
@@ -46,9 +47,8 @@ def set_jaccard(a: frozenset, b: frozenset) -> float:
 def vector_cosine(a, b) -> float:
     if a is None or b is None or len(a) != len(b) or not len(a):
         return 0.0
-    x, y = pd.Series(a, dtype=float).to_numpy(), pd.Series(b, dtype=float).to_numpy()
-    norm = float((x @ x) ** 0.5 * (y @ y) ** 0.5)
-    return float(x @ y) / norm if norm else 0.0
+    norm = float((a @ a) ** 0.5 * (b @ b) ** 0.5)
+    return float(a @ b) / norm if norm else 0.0
 
 
 def cluster(pool: DataFrame, by_vector: bool, config: EngineConfig = DEFAULTS) -> DataFrame:
@@ -63,7 +63,7 @@ def cluster(pool: DataFrame, by_vector: bool, config: EngineConfig = DEFAULTS) -
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["source_index", "chunk_id"], kind="stable")
         if by_vector:
-            numbers = leaders(vector_cosine, config.cosine_threshold, False, pdf["score"].tolist(), pdf["item"].tolist())
+            numbers = leaders(vector_cosine, config.cosine_threshold, False, pdf["score"].tolist(), [None if x is None else np.asarray(x, float) for x in pdf["item"]])
         else:
             numbers = leaders(set_jaccard, config.jaccard_threshold, True, pdf["score"].tolist(), [frozenset(x) for x in pdf["item"]])
         return pdf.assign(cluster_id=numbers)[["query_id", "source_index", "chunk_id", "cluster_id"]]
@@ -113,22 +113,41 @@ def agreement_reason(fetched: Column, selected: Column, unique_sources: Column,
     )
 
 
+def topical_pairs(top: DataFrame) -> DataFrame:
+    """Each two of a query's chunks (rank, source_index, chunk_id and more) from different sources, as columns _a and _b."""
+    a, b = (top.select("query_id", *[F.col(c).alias(f"{c}_{s}") for c in top.columns if c != "query_id"]) for s in "ab")
+    return a.join(b, "query_id").where((F.col("rank_a") < F.col("rank_b")) & (F.col("source_index_a") != F.col("source_index_b")))
+
+
 def contradiction_candidates(ranked: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
     """Pairs of a query's top chunks from different sources that are about the same thing (cosine at the topical floor).
 
     ranked: query_id, rank, source_index, embedding.  Only the top few chunks of a query meet, joined on query_id.
     """
     top = ranked.where(F.col("rank") <= config.contradiction_top).select("query_id", "rank", "source_index", "chunk_id", "embedding")
-    a, b = (top.select("query_id", *[F.col(c).alias(f"{c}_{s}") for c in top.columns[1:]]) for s in "ab")
-    pairs = a.join(b, "query_id").where((F.col("rank_a") < F.col("rank_b")) & (F.col("source_index_a") != F.col("source_index_b")))
-    similar = pairs.withColumn("topical_similarity", cosine(F.col("embedding_a"), F.col("embedding_b")))
+    similar = topical_pairs(top).withColumn("topical_similarity", cosine(F.col("embedding_a"), F.col("embedding_b")))
     return similar.where(F.col("topical_similarity") >= config.topical_floor).drop("embedding_a", "embedding_b")
 
 
-def hashed_vector(tokens: Column, size: int = 64) -> Column:
-    """A deterministic bag-of-words vector, for use where no embedding model is at hand."""
-    places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("float"))
+def term_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two sets of terms: what stands in for an embedding where no model is at hand."""
+    both = F.sqrt(F.size(a).cast("double")) * F.sqrt(F.size(b).cast("double"))
+    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
 
 
-Scorer = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
+def contradictions(ranked: DataFrame, stance: Callable[[Column, Column, Column], Column] | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """Pairs of a query's top chunks from different sources that are about the same thing and deny each other.
+
+    ranked: query_id, rank, source_index, chunk_id, text.  stance(preview_a, preview_b, shared terms) gives how sure a model
+    is (0 to 1, null for no contradiction); by default a pair contradicts if a negation stands beside the shared terms on
+    exactly one side, and is as sure as half of its topical similarity.  Columns: the pair, topical_similarity, confidence, method.
+    """
+    top = ranked.where(F.col("rank") <= config.contradiction_top).select("query_id", "rank", "source_index", "chunk_id", preview(F.col("text"), 400).alias("text"), F.array_distinct(tokens(F.substring("text", 1, 700))).alias("terms"))
+    pairs = topical_pairs(top).withColumn("topical_similarity", F.round(term_cosine(F.col("terms_a"), F.col("terms_b")), 4)).where(F.col("topical_similarity") >= config.topical_floor)
+    shared = pairs.withColumn("shared", F.array_intersect("terms_a", "terms_b"))
+    if stance:
+        judged = shared.withColumn("confidence", stance(F.col("text_a"), F.col("text_b"), F.col("shared"))).withColumn("method", F.lit("model"))
+    else:
+        one_denies = negated(F.col("text_a"), F.col("shared")) != negated(F.col("text_b"), F.col("shared"))
+        judged = shared.withColumn("confidence", F.when(one_denies, F.round(F.col("topical_similarity") / 2, 4))).withColumn("method", F.lit("lexical"))
+    return judged.where("confidence is not null").drop("terms_a", "terms_b", "shared")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, EngineConfig
-from ..functions.text import phrases, query_term_count, sentences, task_terms, tokens
+from ..functions.text import normalize, phrases, query_term_count, sentences, task_terms, tokens, trim_to_budget
 from ..plans.stage import staged
+from .chunk import chunk_array
 
 
 def with_tasks(df: DataFrame, tasks: list[str]) -> DataFrame:
@@ -40,7 +41,7 @@ def rank(df: DataFrame, chunks: Column, tasks: list[str] | None = None, metadata
     k1, b = config.k1, config.b
     none = F.array().cast("array<string>")
     vocabulary = task_terms(F.col("task")) if tasks is None else F.array_distinct(F.flatten(F.array(*[task_terms(F.lit(t)) for t in tasks]))) if tasks else none
-    own = counted(df, chunks, vocabulary).drop(*(["chunks"] if "chunks" in df.columns else []))
+    own = counted(df, chunks, vocabulary)
     shown = lambda text: none if text is None else F.array_distinct(tokens(text))
     own = staged(own, _meta=shown(metadata), _data=shown(structured))
     words = staged(own if tasks is None else with_tasks(own, tasks), _terms=task_terms(F.col("task")), _phrases=phrases(F.col("task")))
@@ -101,6 +102,17 @@ def select(df: DataFrame, max_tokens: Column | int, min_score: float = DEFAULTS.
     return staged(ids, selected=F.array_sort(F.filter("ranked", lambda c: F.array_contains("_ids", c["chunk_id"])), by_id)).drop("_ids")
 
 
+def relevant_text(df: DataFrame, text: Column, headings: Column | None, query: str | None, max_tokens: int, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """df plus `relevant`: the chunks of text that suit the query, within the budget; without a query, or without chunks, its beginning."""
+    whole = staged(df, _text=normalize(text))
+    if not query:
+        return staged(whole, relevant=trim_to_budget(F.col("_text"), max_tokens)).drop("_text")
+    chunked = staged(whole, _own=chunk_array(F.col("_text"), headings, config))
+    chosen = select(rank(chunked, F.col("_own"), [query], config=config), max_tokens, config.min_score)
+    parts = F.array_join(F.transform("selected", lambda c: c["text"]), "\n\n---\n\n")
+    return staged(chosen, relevant=F.when(F.size("selected") > 0, parts).otherwise(trim_to_budget(F.col("_text"), max_tokens))).drop("_text", "_own", "ranked", "selected", "task", "task_id")
+
+
 def context_text(selected: Column) -> Column:
     return F.array_join(F.transform(selected, lambda c: F.concat(F.lit("[chunk "), c["chunk_id"].cast("string"), F.lit(" | score "), c["score"].cast("string"), F.lit("]\n"), c["text"])), "\n\n---\n\n")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,11 @@ from ..config import INJECTION_PATTERNS, EngineConfig
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.url import cache_key, source_class, unwrap_redirect
-from ..operators import capsule, chunk, crosssource, dom, evaluate, extract, provenance, rank, safety, verify
+from ..operators import capsule, chunk, crosssource, dom, evaluate, extract, provenance, rank, research, safety, verify
 from ..sources import cache, pages, search
 from ..streaming import pages as streams
 from . import sqltext as S
-from .stage import cut, staged
+from .stage import cut, possibly_in, shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,7 +274,7 @@ def chunks(spark, sf_dir):
 
 def ranked_documents(spark: SparkSession, sf_dir: str, tasks: list[str]) -> DataFrame:
     chunked = staged(spread(spark, sf_dir), chunks=chunk.chunk_array(F.col("text"))).select("doc_id", "source", "chunks")
-    return rank.rank(chunked, F.col("chunks"), tasks)
+    return rank.rank(chunked, F.col("chunks"), tasks).drop("chunks")
 
 
 @query(f"with recursive {S.ranked(TASKS)} select doc_id, task_id, chunk_id, round(bm25, 4) as bm25, phrase, heading, position, score, normalized_score, array_to_string(matched_terms, ' ') as matched, cast(rank as integer) as rank from ranked")
@@ -431,8 +432,8 @@ j as (select doc_id, item_id, count(*) as cnt, any_value(de.n) as n1, any_value(
 select doc_id, item_id, cast(cnt as bigint) as shared, round(cnt / (n1 + n2 - cnt), 4) as jaccard, round(cnt / n2, 4) as contained from j""")
 def shingle_jaccard_pairs(spark, sf_dir):
     d = _shingle_rows(table(spark, sf_dir, "documents"), "doc_id")
-    b = _shingle_rows(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("n", "m")
-    both = d.join(b, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    b = cut(_shingle_rows(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("n", "m"))
+    both = possibly_in(d, "s", b).join(b, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     return both.select("doc_id", "item_id", "shared", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 4).alias("jaccard"), F.round(F.col("shared") / F.col("m"), 4).alias("contained"))
 
 
@@ -458,11 +459,21 @@ def vector_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POOL = "pool as (select cast(floor(vec_id / 40) as bigint) as query_id, vec_id % 5 as source_index, vec_id as chunk_id, (vec_id * 37 % 101) / 100 as normalized_score, label as cluster_id, cast(vec_id % 7 * 30 + 40 as integer) as token_estimate, embedding from embeddings)"
-_AGREED = f"""{_POOL}, counts as (select query_id, cluster_id, count(distinct source_index) as agreement_count from pool group by all),
+# After pool(query_id, source_index, chunk_id, cluster_id, normalized_score): the best chunk of each cluster, by rank.
+_KEPT = """counts as (select query_id, cluster_id, count(distinct source_index) as agreement_count from pool group by all),
 agreed as (select p.*, agreement_count, round(normalized_score * least(1.6, 1 + 0.25 * (agreement_count - 1)), 4) as combined_score from pool p join counts using (query_id, cluster_id)),
 firsts as (select *, row_number() over (partition by query_id, cluster_id order by combined_score desc, normalized_score desc, source_index, chunk_id) as n from agreed),
 ordered as (select *, row_number() over (partition by query_id order by combined_score desc, normalized_score desc, source_index, chunk_id) as rank from firsts where n = 1),
 kept as (select * from ordered where rank <= 12)"""
+_AGREED = f"{_POOL}, {_KEPT}"
+
+
+def _jaccard_walk(name: str, placed: str = "placed") -> str:
+    """After placed(query_id, source_index, chunk_id, k, score, v): the walk of clustering by shingles."""
+    return f"""{name} as (select query_id, source_index, chunk_id, k, 1 as cluster_id, [{{'v': v, 'score': score}}] as leads from {placed} where k = 1
+ union all select query_id, source_index, chunk_id, k, case when best > 0 then best else len(leads) + 1 end, case when best = 0 then list_append(leads, {{'v': v, 'score': score}}) else list_transform(leads, lambda l, i: case when i = best and score > l.score then {{'v': v, 'score': score}} else l end) end
+ from (select *, coalesce(list_position(nearness, true), 0) as best
+  from (select p.*, w.leads, list_transform(w.leads, lambda l: len(p.v) > 0 and len(l.v) > 0 and len(list_intersect(p.v, l.v)) >= 0.18 * (len(p.v) + len(l.v) - len(list_intersect(p.v, l.v)))) as nearness from {name} w join {placed} p on p.query_id = w.query_id and p.k = w.k + 1)))"""
 
 
 # Leader clustering as a walk over a query's chunks: the state is the list of leaders (vector or shingles, and score).
@@ -483,10 +494,7 @@ def leader_clusters(spark, sf_dir):
 @query(f"""with recursive dw as (select doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda t: length(t) > 1) as w from documents),
 pool as (select cast(floor(doc_id / 20) as bigint) as query_id, doc_id % 5 as source_index, doc_id as chunk_id, (doc_id * 37 % 101) / 100 as score, case when len(w) >= 4 then {_SH} else [] end as v from dw),
 placed as (select *, row_number() over (partition by query_id order by source_index, chunk_id) as k from pool),
-walk as (select query_id, source_index, chunk_id, k, 1 as cluster_id, [{{'v': v, 'score': score}}] as leads from placed where k = 1
- union all select query_id, source_index, chunk_id, k, case when best > 0 then best else len(leads) + 1 end, case when best = 0 then list_append(leads, {{'v': v, 'score': score}}) else list_transform(leads, lambda l, i: case when i = best and score > l.score then {{'v': v, 'score': score}} else l end) end
- from (select *, coalesce(list_position(nearness, true), 0) as best
-  from (select p.*, w.leads, list_transform(w.leads, lambda l: len(p.v) > 0 and len(l.v) > 0 and len(list_intersect(p.v, l.v)) >= 0.18 * (len(p.v) + len(l.v) - len(list_intersect(p.v, l.v)))) as nearness from walk w join placed p on p.query_id = w.query_id and p.k = w.k + 1)))
+{_jaccard_walk("walk")}
 select query_id, source_index, chunk_id, cast(cluster_id as integer) as cluster_id from walk""")
 def shingle_clusters(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("query_id"), (F.col("doc_id") % 5).alias("source_index"), F.col("doc_id").alias("chunk_id"), ((F.col("doc_id") * 37 % 101) / 100).alias("normalized_score"), "text")
@@ -524,6 +532,28 @@ def contradiction_candidates(spark, sf_dir):
     return c.select("query_id", "chunk_id_a", "chunk_id_b", F.round("topical_similarity", 4).alias("topical_similarity"))
 
 
+_DENIED = "case when doc_id % 2 = 1 then 'Never so: ' || text else text end"
+
+
+def _contradicting(top: str, floor: float) -> str:
+    """top: a query of query_id, rank, source_index, chunk_id and text.  Pairs that are about the same thing, one of them denied."""
+    denied = lambda x: f"len(list_filter({S.split_sentences(f'lower({x})')}, lambda s: len(list_filter(shared, lambda t: contains(s, t))) > 0 and regexp_matches(s, {S.negation_pattern()}))) > 0"
+    return f"""top_chunks as (select query_id, rank, source_index, chunk_id, {S.preview('text', 400)} as text, list_distinct({S.tokens('substr(text, 1, 700)')}) as terms from ({top}) where rank <= 6),
+couples as (select a.query_id, a.rank as rank_a, b.rank as rank_b, a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b, a.text as text_a, b.text as text_b, list_intersect(a.terms, b.terms) as shared,
+ case when len(a.terms) > 0 and len(b.terms) > 0 then round(len(list_intersect(a.terms, b.terms)) / (sqrt(len(a.terms)) * sqrt(len(b.terms))), 4) else 0.0 end as topical_similarity
+ from top_chunks a join top_chunks b on a.query_id = b.query_id and a.rank < b.rank and a.source_index <> b.source_index),
+contradicting as (select * from couples where topical_similarity >= {floor} and ({denied('text_a')}) <> ({denied('text_b')}))"""
+
+
+@query(f"""with {_contradicting(f"select cast(floor(doc_id / 20) as bigint) as query_id, doc_id % 20 + 1 as rank, doc_id % 5 as source_index, doc_id as chunk_id, {_DENIED} as text from documents", 0.2)}
+select query_id, chunk_id_a, chunk_id_b, topical_similarity, round(topical_similarity / 2, 4) as confidence, 'lexical' as method from contradicting""")
+def contradictions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("Never so: "), F.col("text"))).otherwise(F.col("text"))
+    top = d.select(F.floor(F.col("doc_id") / 20).alias("query_id"), (F.col("doc_id") % 20 + 1).alias("rank"), (F.col("doc_id") % 5).alias("source_index"), F.col("doc_id").alias("chunk_id"), text.alias("text"))
+    return crosssource.contradictions(top, config=EngineConfig(topical_floor=0.2)).select("query_id", "chunk_id_a", "chunk_id_b", "topical_similarity", "confidence", "method")
+
+
 def stance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = verify.stances(ranked_documents(spark, sf_dir, CLAIMS), F.col("task"))
     return r.select(F.col("task_id").alias("claim_id"), "doc_id", "source", "stances")
@@ -626,6 +656,46 @@ def cache_statistics(spark, sf_dir):
     return cache.statistics(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", 3600)
 
 
+_STORED = "stored as (select page_id, url, html, substr(sha256(html), 1, 16) as fingerprint, timestamp '2024-01-01 00:00:00' + to_seconds(page_id * 60) as stored_at from pages)"
+
+
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as cache entries, one stored every minute."""
+    return table(spark, sf_dir, "pages").withColumn("fingerprint", T.fingerprint(F.col("html"))).withColumn("stored_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 60).cast("timestamp_ntz"))
+
+
+@query(f"""with {_STORED}, now as (select max(stored_at) as now from stored), latest as (select * from stored qualify row_number() over (partition by fingerprint order by stored_at desc, page_id desc) = 1)
+select fingerprint, page_id, case when contains(html, '<title>') then {S.strip(_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} end as title from latest, now where now - stored_at <= interval 1 hour""")
+def cached_page(spark, sf_dir):
+    """Cached pages by fingerprint: those still alive, cleaned again."""
+    entries = stored_pages(spark, sf_dir)
+    now = entries.agg(F.max("stored_at")).first()[0]
+    alive = cache.by_fingerprint(entries, "fingerprint", "stored_at", F.lit(now), 3600, "page_id")
+    return alive.select("fingerprint", "page_id", H.title(F.col("html")).alias("title"))
+
+
+@query(f"""with {_STORED}, now as (select max(stored_at) as now from stored) select url, max(stored_at) as stored_at, cast(3600 - epoch(any_value(now) - max(stored_at)) as bigint) as seconds_left from stored, now group by url having any_value(now) - max(stored_at) <= interval 1 hour""")
+def cache_list(spark, sf_dir):
+    entries = stored_pages(spark, sf_dir).select("url", "stored_at")
+    now = entries.agg(F.max("stored_at")).first()[0]
+    return cache.listed(entries, "url", "stored_at", F.lit(now), 3600)
+
+
+@query(f"""with {_POOL}, sums as (select query_id, coalesce(sum(normalized_score) filter (cluster_id % 2 = 0), 0.0) as s, coalesce(sum(normalized_score) filter (cluster_id % 2 = 1), 0.0) as r from pool group by query_id),
+v as (select *, case when s > r * 1.5 then 'supported' when r > s * 1.5 then 'refuted' else 'unclear' end as verdict, round(least(1.0, abs(s - r) / greatest(s + r, 1.0) + 0.2), 4) as c from sums)
+select query_id, verdict, case when verdict = 'unclear' then least(c, 0.5) else c end as confidence from v""")
+def model_verdict(spark, sf_dir):
+    """Verdicts from a model's supporting and refuting mass (here the scores of even and odd clusters)."""
+    pool = vector_pool(spark, sf_dir)
+    mass = lambda k: F.coalesce(F.sum(F.when(F.col("cluster_id") % 2 == k, F.col("normalized_score"))), F.lit(0.0))
+    return pool.groupBy("query_id").agg(mass(0).alias("s"), mass(1).alias("r")).select("query_id", verify.decide_model(F.col("s"), F.col("r")).alias("v")).select("query_id", "v.verdict", "v.confidence")
+
+
+@query("select '{\"label\":' || label || ',\"n\":' || count(*) || '}' as json from embeddings group by label")
+def json_rows(spark, sf_dir):
+    return pages.as_json(table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")))
+
+
 @query("""with f as (select quality = 0 as expected, toxic = 1 as detected from labels where quality is not null and toxic is not null),
 s as (select count(*) filter (expected and detected) as tp, count(*) filter (expected and not detected) as fn, count(*) filter (not expected and detected) as fp, count(*) filter (not expected and not detected) as tn from f)
 select tp, fn, fp, tn, round(tp / (tp + fn), 4) as recall, round(fp / (fp + tn), 4) as false_positive_rate, round(tp / (tp + fp), 4) as precision from s""")
@@ -691,6 +761,18 @@ traced as (select s.doc_id, s.task_id, string_agg(s.chunk_id || '@' || s.char_st
  string_agg('[chunk ' || s.chunk_id || ' | score ' || cast(s.score as double) || ']' || chr(10) || s.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by s.chunk_id) as context from selected s left join sources_of using (doc_id, chunk_id) group by all)"""
 
 
+_RESULTS = "<html><body><div class='result results_links'><h2><a rel='nofollow' href='//duckduckgo.com/l/?uddg=https%3A%2F%2Fsite.example%2Fp{0}%3Fa%3D1&amp;rut=x' class='result__a'>Page <b>{0}</b> &amp; more</a></h2><a class='result__snippet' href='/x'>About <b>{0}</b>.</a></div><div class='result'><a class='result__a' href='https://github.com/o/r{0}'>Code {0}</a></div><div class='result'><a class='result__a' href=''>No link</a></div><div class='result'><a class='result__a' href='/z'></a></div></body></html>"
+
+
+@query("""select page_id, 2 as hits, 'Page ' || page_id || ' & more' as title, 'https://site.example/p' || page_id || '?a=1' as url, 'About ' || page_id || '.' as snippet, 'unknown' as quality, 'https://github.com/o/r' || page_id as second_url, 'marketplace' as second_quality from pages""")
+def search_result_page(spark, sf_dir):
+    before, *between = _RESULTS.split("{0}")
+    answers = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(before), *[x for part in between for x in (F.col("page_id").cast("string"), F.lit(part))]).alias("html"))
+    h = search.result_page_hits(answers, "page_id", "html")
+    first, second = F.element_at("hits", 1), F.element_at("hits", 2)
+    return h.select("page_id", F.size("hits").alias("hits"), first["title"].alias("title"), first["url"].alias("url"), first["snippet"].alias("snippet"), first["source_quality"].alias("quality"), second["url"].alias("second_url"), second["source_quality"].alias("second_quality"))
+
+
 @query(f"""with recursive {_CLEAN}, {_TITLES}, {S.ranked(TASKS, S.chunks(*_PAGE_TEXTS), _PAGE_SIGNALS)}, {S.selected(EngineConfig().max_tokens)}, {_PRIORITY}, {_confidence_sql(EngineConfig().max_tokens)}, {_TRACED},
 every as (select p.*, t.task_id, cast(ceil(length(html) / 4.0) as integer) as raw from titles p cross join tasks t)
 select e.page_id, e.task_id, title, case when regexp_matches(host, '[.](gov|mil)$') then 'government' when host like '%.edu' then 'academic' when regexp_matches(path, '/(docs|api)') or regexp_matches(lower(coalesce(title, '')), 'developer|reference') then 'documentation' when regexp_matches(path, '/(blog|posts)') then 'blog' when regexp_replace(path, '/+$', '') in ('', '/about') then 'official' else 'unknown' end as source_quality,
@@ -714,6 +796,16 @@ def web_read(spark, sf_dir):
     return c.select("page_id", T.trim_to_budget(F.col("text"), 200).alias("text"), "fingerprint")
 
 
+@query(f"""with recursive {_CLEAN}, {S.ranked(TASKS[:1], S.chunks(*_PAGE_TEXTS))}, {S.selected(BUDGET)},
+parted as (select doc_id as page_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by chunk_id) as relevant from selected group by doc_id),
+whole as (select page_id, {S.normalize('text')} as text from cleaned)
+select page_id, coalesce(relevant, {_TRIM.replace('800', str(4 * BUDGET)).replace('480', str(int(2.4 * BUDGET)))}) as text, substr(sha256(p.html), 1, 16) as fingerprint from whole left join parted using (page_id) join pages p using (page_id)""")
+def web_read_compact(spark, sf_dir):
+    """Reading for a question: the chunks that suit it, within the budget."""
+    c = staged(dom.clean(table(spark, sf_dir, "pages")), heads=chunk.match_headings(F.col("headings")))
+    return rank.relevant_text(c.select("page_id", "text", "heads", "fingerprint"), F.col("text"), F.col("heads"), TASKS[0], BUDGET).select("page_id", F.col("relevant").alias("text"), "fingerprint")
+
+
 @query(f"with recursive {_CLEAN}, {stance_sql(S.chunks(*_PAGE_TEXTS))}, {_VERDICT}")
 def web_verify(spark, sf_dir):
     c = staged(dom.clean(table(spark, sf_dir, "pages")), heads=chunk.match_headings(F.col("headings"))).select("page_id", chunk.chunk_array(F.col("text"), F.col("heads")).alias("chunks"))
@@ -729,29 +821,56 @@ def web_extract(spark, sf_dir):
     return extract.record(c, "page_id", F.col("text"), SCHEMA).select("page_id", "data", "confidence", F.array_join("unfilled", " ").alias("unfilled"))
 
 
-@query()
+DEPTH, TOTAL = 4, 3000
+QUESTIONS = [TASKS[0], "anti onst ened, thor erat"]
+_FOUND = f"""asked as (select * from (values {', '.join(f'({i}, {S.q(t)})' for i, t in enumerate(QUESTIONS, 1))}) v(query_id, query)),
+asked_list as (select query_id, {S.synonyms(S.tokens('query'))} as l from asked), asked_terms as (select distinct query_id, unnest(l) as term from asked_list),
+page_tokens as (select page_id, {S.tokens('text')} as toks from cleaned), page_totals as (select count(*) as n, avg(len(toks)) as average from page_tokens),
+postings as (select page_id, len(toks) as length, term, len(list_filter(toks, lambda x: x = term)) as tf from page_tokens, (select distinct term from asked_terms) where list_contains(toks, term)),
+page_freq as (select term, count(*) as df from postings group by term),
+page_scores as (select query_id, page_id, round(sum(ln(1 + (n - df + 0.5) / greatest(df + 0.5, 1.0)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * length / average))), 4) as score from postings join asked_terms using (term) join page_freq using (term), page_totals group by all),
+hits as (select query_id, page_id, row_number() over (partition by query_id order by score desc, page_id) as hit from page_scores qualify row_number() over (partition by query_id order by score desc, page_id) <= {DEPTH})"""
+_POOLED = f"""pooled as (select cast(h.query_id as bigint) as query_id, h.hit as source_index, h.page_id, s.chunk_id, s.text, s.normalized_score, s.token_estimate from selected s join hits h on h.page_id = s.doc_id and h.query_id = s.task_id),
+worded as (select *, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda t: length(t) > 1) as w from pooled),
+pool_placed as (select *, normalized_score as score, case when len(w) >= 4 then {_SH} else [] end as v, row_number() over (partition by query_id order by source_index, chunk_id) as k from worded)"""
+_ANSWERS = f"""spent as (select query_id, rank, true as taken, token_estimate as total from kept where rank = 1
+ union all select k.query_id, k.rank, w.total + k.token_estimate <= {TOTAL}, w.total + case when w.total + k.token_estimate <= {TOTAL} then k.token_estimate else 0 end from spent w join kept k on k.query_id = w.query_id and k.rank = w.rank + 1),
+evidence as (select k.* from kept k join spent w using (query_id, rank) where taken),
+uniques as (select query_id, count(distinct source_index) as unique_sources from pool group by all),
+sums_of as (select e.query_id, count(*) as n, sum(agreement_count - 1) as extra, any_value(unique_sources) as unique_sources from evidence e join uniques using (query_id) group by all),
+agreements as (select *, case when unique_sources <= 1 then 0.0 else round(extra / (n * (unique_sources - 1)), 4) end as agreement_score from sums_of),
+{_contradicting('select * from evidence', 0.45)},
+clashes as (select query_id, count(*) as clashes from contradicting group by all)"""
+
+
+@query(f"""with recursive {_CLEAN}, {_FOUND}, {S.ranked(QUESTIONS, S.chunks(*_PAGE_TEXTS))}, {S.selected(max(400, TOTAL // DEPTH))}, {_POOLED}, {_jaccard_walk("clustering", "pool_placed")},
+pool as (select p.*, cast(l.cluster_id as integer) as cluster_id from pooled p join clustering l using (query_id, source_index, chunk_id)), {_KEPT}, {_ANSWERS}
+select query_id, cast(rank as integer) as rank, page_id, chunk_id, cluster_id, agreement_count, combined_score, {S.preview('text', 240)} as preview, unique_sources, agreement_score,
+case when unique_sources = 1 then 'only_one_source_returned_evidence' when agreement_score < 0.1 then 'sources_did_not_overlap' when agreement_score >= 0.4 then 'multiple_sources_corroborated' else 'partial_cross_source_agreement' end as reason, coalesce(clashes, 0) as contradictions
+from evidence join agreements using (query_id) left join clashes using (query_id)""")
 def web_research(spark, sf_dir):
-    """The top pages of each query by corpus search, their selected chunks pooled, clustered, and ranked by agreement."""
+    """The evidence for each query: the best pages by corpus search, their chunks pooled, clustered, ranked by agreement and cut
+    to a budget; with each query's agreement, its reason and the number of contradicting pairs."""
+    base = cut(dom.clean(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "headings"))
+    return research.answers(research.evidence(base, QUESTIONS, DEPTH, TOTAL))
+
+
+@query(f"""with recursive {_CLEAN}, {_FOUND} select cast(query_id as integer) as query_id, cast(hit as integer) as rank, page_id, {S.strip('text')} <> '' as ok, case when {S.strip('text')} = '' then 'the page has no text' end as error from hits join cleaned using (page_id)""")
+def research_sources(spark, sf_dir):
+    """The pages that a research reads, one that can't be read as a row with its error."""
     base = cut(dom.clean(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "headings"))
-    hits = search.corpus_search(base, "page_id", F.col("text"), TASKS[:2], 4)
-    found = base.join(hits.select("query_id", "page_id", "rank"), "page_id").withColumn("task", F.element_at(T.strings(TASKS[:2]), F.col("query_id")))
-    heads = staged(found, heads=chunk.match_headings(F.col("headings")))
-    r = rank.rank(staged(heads, chunks=chunk.chunk_array(F.col("text"), F.col("heads"))), F.col("chunks"))
-    picked = rank.select(r, 750).select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("source_index"), "page_id", F.explode("selected").alias("c"))
-    pool = cut(picked.select("query_id", "source_index", "page_id", F.col("c.chunk_id").cast("long").alias("chunk_id"), "c.text", "c.normalized_score", "c.token_estimate"))
-    clusters = crosssource.cluster(pool, by_vector=False)
-    top = crosssource.one_per_cluster(crosssource.agreement(pool.join(clusters, ["query_id", "source_index", "chunk_id"])))
-    return top.select("query_id", "rank", "page_id", "chunk_id", "cluster_id", "agreement_count", "combined_score", T.preview(F.col("text"), 240).alias("preview"))
-
-
-@query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
+    return research.sources(base, QUESTIONS, DEPTH).select("query_id", "rank", "page_id", "ok", "error")
+
+
+@query("""with w as (select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all)
+select * from w where window_start + interval 1 hour <= (select max(ts) - interval 10 minutes from events)""")
 def streaming_activity(spark, sf_dir):
-    """The stream's complete result once all files are read; later files would go on from its checkpoint."""
+    """The windows that the stream has closed once all files are read, appended to a table in the shared folder; later files
+    would go on from its checkpoint."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"activity_{abs(hash(sf_dir))}"
-    q = streams.activity(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/activity-{uuid.uuid4().hex}"
+    q = streams.activity(events).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-
-
+    rows = spark.read.schema("window_start timestamp, event_type string, n long, total double").parquet(f"{folder}/rows")
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

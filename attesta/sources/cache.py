@@ -27,12 +27,28 @@ def least_recent_out(entries: DataFrame, last_access: str, size: int, *tie: str)
     return entries.orderBy(F.desc(last_access), *[F.desc(t) for t in tie]).limit(size)
 
 
-def by_fingerprint(entries: DataFrame, fingerprint: str, stored_at: str, *tie: str) -> DataFrame:
-    return latest(entries, fingerprint, stored_at, *tie)
+def by_fingerprint(entries: DataFrame, fingerprint: str, stored_at: str, now: Column, ttl_seconds: Column | int, *tie: str) -> DataFrame:
+    """The last entry of each fingerprint, if it is still within its time to live."""
+    return fresh(latest(entries, fingerprint, stored_at, *tie), F.col(stored_at), now, ttl_seconds)
+
+
+def listed(entries: DataFrame, key: str, stored_at: str, now: Column, ttl_seconds: Column | int) -> DataFrame:
+    """What the cache holds: key, stored_at, and seconds of life left."""
+    ttl = F.lit(ttl_seconds) if isinstance(ttl_seconds, int) else ttl_seconds
+    left = ttl.cast("long") - F.floor((micros(now) - micros(F.col(stored_at))) / 1_000_000)
+    return fresh(latest(entries, key, stored_at), F.col(stored_at), now, ttl_seconds).select(key, stored_at, left.alias("seconds_left"))
 
 
 def statistics(log: DataFrame, key: str, stored_at: str, ttl_seconds: int) -> DataFrame:
-    """One row: lookups, hits (an entry of the key within its time to live came before), misses, distinct keys."""
-    w = Window.partitionBy(key).orderBy(stored_at)
-    gap = micros(F.col(stored_at)) - micros(F.lag(stored_at).over(w))
-    return log.select(key, (gap <= ttl_seconds * 1_000_000).alias("hit")).agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"), (F.count("*") - F.count_if("hit")).alias("misses"), F.countDistinct(key).alias("keys"))
+    """One row: lookups, hits (an entry of the key within its time to live came before), misses, distinct keys.
+
+    Lookups are summed by key and stretch of ttl_seconds: in a stretch all but the first are hits, and the first is one if the
+    stretch before ends near enough.  So a hot key is many small sums, not one task's rows.
+    """
+    ttl = ttl_seconds * 1_000_000
+    at = micros(F.col(stored_at))
+    sums = log.groupBy(F.col(key).alias("key"), F.floor(at / ttl).alias("stretch")).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    before = sums.select("key", (F.col("stretch") + 1).alias("stretch"), F.col("last").alias("before"))
+    met = sums.join(before, ["key", "stretch"], "left")
+    hits = F.col("n") - 1 + F.coalesce((F.col("first") - F.col("before") <= ttl).cast("long"), F.lit(0))
+    return met.agg(F.sum("n").alias("lookups"), F.sum(hits).alias("hits"), (F.sum("n") - F.sum(hits)).alias("misses"), F.countDistinct("key").alias("keys"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import fresh, latest
+
 FETCHED = "requested_url string, final_url string, status int, content_type string, body string, bytes_read long, truncated boolean, timed_out boolean, ok boolean, error string"
 
 
@@ -28,16 +31,18 @@ def retriable(status: int | None, error: str | None) -> bool:
     return (status is None and error is not None) or (status is not None and status >= 500)
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, str, bytes]], retries: int = 1, max_bytes: int = 5_000_000) -> DataFrame:
-    """FETCHED for a column url.  get(url) gives status, final url, content type and body, or raises.
+def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, str, bytes]], retries: int = 1, max_bytes: int = 5_000_000, delay: float = 0.75, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """FETCHED for a column url.  get(url) gives status, final url, content type and body, or raises; time-outs and redirects are its own.
 
-    A failure is a row with ok = false; it never fails the job.
+    Before the n-th further attempt it waits n times `delay` seconds.  A failure is a row with ok = false; it never fails the job.
     """
 
     def one(url: str) -> dict:
         status = error = None
         final, kind, body = url, None, b""
-        for _ in range(retries + 1):
+        for attempt in range(retries + 1):
+            if attempt:
+                wait(delay * attempt)
             try:
                 status, final, kind, body = get(url)
                 error = None if 200 <= status < 300 else f"status {status}"
@@ -57,6 +62,19 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, str, bytes]], re
     return urls.select("url").mapInArrow(run, FETCHED)
 
 
+def fetch_missing(urls: DataFrame, entries: DataFrame, now: Column, ttl_seconds: Column | int, get: Callable[[str], tuple[int, str, str, bytes]], **options) -> DataFrame:
+    """FETCHED and from_cache: urls that have a fresh entry (rows of FETCHED with stored_at) are answered by it, only the others are fetched.
+
+    Only answers that are ok count as entries; failures are asked again.
+    """
+    known = fresh(latest(entries.where("ok"), "requested_url", "stored_at"), F.col("stored_at"), now, ttl_seconds).drop("stored_at")
+    wanted = urls.select("url").distinct()
+    names = [f.split()[0] for f in FETCHED.split(", ")]
+    hits = known.join(wanted, known["requested_url"] == wanted["url"], "left_semi").select(*names, F.lit(True).alias("from_cache"))
+    others = wanted.join(known.select("requested_url"), wanted["url"] == F.col("requested_url"), "left_anti")
+    return hits.union(fetch(others, get, **options).select(*names, F.lit(False).alias("from_cache")))
+
+
 def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Labelled cases or site lists: a JSON array in one file."""
     return spark.read.schema(schema).json(path, multiLine=True)

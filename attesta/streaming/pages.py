@@ -26,5 +26,6 @@ def stream_capsules(pages: DataFrame, tasks: list[str]) -> DataFrame:
 
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums for each window and event type; rows later than the watermark don't count."""
+    """Counts and sums for each window and event type.  In append mode a window is given out once the watermark has passed its
+    end, and its state is dropped; rows that come later don't count."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
