@@ -7,11 +7,14 @@ takes no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, EngineConfig
-from ..functions.text import normalize, phrases, query_term_count, sentences, task_terms, tokens, trim_to_budget
+from ..functions.text import coverage, normalize, phrases, query_term_count, sentences, task_terms, tokens, trim_to_budget
 from ..plans.stage import staged
 from .chunk import chunk_array
 
@@ -166,3 +169,19 @@ def rerank_array(ranked: Column, scores: Column, weight: float = 1.0, top: int =
     best = F.greatest(F.array_max(scores), F.lit(1e-9))
     mixed = F.zip_with(head, scores, lambda c, s: c.withField("normalized_score", F.round((c["normalized_score"] + weight * s / best) / (1 + weight), 4)))
     return F.concat(by_norm(mixed), F.filter(ranked, lambda c, i: i >= top))
+
+
+def rerank(df: DataFrame, scorer: Callable[[Iterator[tuple[pd.Series, pd.Series]]], Iterator[pd.Series]] | None = None, weight: float = 1.0, top: int = 12) -> DataFrame:
+    """df (with task and ranked) with the first `top` chunks in the order of a second scorer, blended with the normalised score.
+
+    scorer: for batches of tasks and their lists of texts a list of scores each, with its model loaded once for each worker; by
+    default the share of the task's terms that a chunk has.
+    """
+    head = F.slice("ranked", 1, top)
+    if scorer:
+        scores = F.pandas_udf(scorer, "array<double>", F.PandasUDFType.SCALAR_ITER)(F.col("task"), F.transform(head, lambda c: c["text"]))
+    else:
+        terms = task_terms(F.col("task"))
+        scores = F.transform(head, lambda c: coverage(c["matched_terms"], terms))
+    scored = staged(df.withColumn("_scores", scores), _reranked=rerank_array(F.col("ranked"), F.col("_scores"), weight, top))
+    return scored.drop("ranked", "_scores").withColumnRenamed("_reranked", "ranked")

@@ -308,6 +308,15 @@ def retrieval_confidence(spark, sf_dir):
     return c.select("doc_id", "task_id", "c.score", F.array_join("c.reasons", " ").alias("reasons"), "c.level")
 
 
+@query(f"""with recursive {S.ranked(TASKS)}, shares as (select r.*, case when len(t.terms) = 0 then 0.0 else len(r.matched_terms) / len(t.terms) end as share from ranked r join terms t using (task_id)),
+tops as (select *, greatest(max(share) filter (rank <= 12) over (partition by doc_id, task_id), 1e-9) as best from shares),
+mixed as (select *, case when rank <= 12 then round((normalized_score + share / best) / 2, 4) end as blended from tops)
+select doc_id, task_id, string_agg(chunk_id, ' ' order by rank > 12, case when rank <= 12 then -blended else rank end, chunk_id) as ids, max(blended) as best from mixed group by doc_id, task_id""")
+def reranked(spark, sf_dir):
+    r = rank.rerank(ranked_documents(spark, sf_dir, TASKS).where(F.size("ranked") > 0))
+    return r.select("doc_id", "task_id", F.array_join(F.transform("ranked", lambda c: c["chunk_id"].cast("string")), " ").alias("ids"), F.element_at("ranked", 1)["normalized_score"].alias("best"))
+
+
 _SIGNALS = f"select doc_id, list_distinct({S.tokens('substr(text, 1, 200)')}) as meta, list_distinct({S.tokens('substr(text, 201, 300)')}) as data from documents"
 
 

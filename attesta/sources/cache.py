@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Letters of the fingerprint that name a partition of the stored log.
+PREFIX = 2
+
+
+def store(entries: DataFrame, path: str, fingerprint: str = "fingerprint") -> None:
+    """Appends entries to the log, in partitions by the fingerprint's first letters."""
+    entries.withColumn("part", F.substring(fingerprint, 1, PREFIX)).write.mode("append").partitionBy("part").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:
+    """The log, or one fingerprint's entries, for which only its partition is read."""
+    log = spark.read.option("basePath", path).parquet(path)
+    if fingerprint is not None:
+        log = log.where((F.col("part") == fingerprint[:PREFIX]) & (F.col("fingerprint") == fingerprint))
+    return log.drop("part")
+
+
 def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 

@@ -3,6 +3,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from attesta.config import EngineConfig
 from attesta.operators import capsule, chunk, dom, extract, rank, safety, verify
 from attesta.operators.crosssource import leaders, set_jaccard
 from attesta.plans.stage import staged
-from attesta.sources import pages
+from attesta.sources import cache, pages
 from attesta.sources import pages as sources
 from attesta.streaming import pages as streams
 
@@ -171,6 +172,28 @@ def test_fetch_asks_the_cache_and_backs_off(spark, tmp_path):
     assert waits.read_text().split() == ["0.75", "1.5"]
 
 
+def test_stored_entries(spark, tmp_path):
+    rows = [("ab12", "one"), ("ab34", "two"), ("ff00", "three")]
+    cache.store(spark.createDataFrame(rows, "fingerprint string, body string"), str(tmp_path / "log"))
+    cache.store(spark.createDataFrame([("ab12", "one again")], "fingerprint string, body string"), str(tmp_path / "log"))
+    assert {r.body for r in cache.stored(spark, str(tmp_path / "log"), "ab12").collect()} == {"one", "one again"}
+    assert cache.stored(spark, str(tmp_path / "log")).count() == 4
+    plan = cache.stored(spark, str(tmp_path / "log"), "ab12")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+
+
+def test_model_scorer(spark):
+    texts = ["cache table one", "cache two", "nothing here"]
+    chunks = F.array(*[F.struct(F.lit(i).alias("chunk_id"), F.lit(None).cast("string").alias("section"), F.lit(t).alias("text"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"), F.lit(4).alias("token_estimate")) for i, t in enumerate(texts, 1)])
+
+    def by_length(batches):
+        for tasks, lists in batches:
+            yield pd.Series([[float(len(t)) if t.startswith("n") else 0.0 for t in texts] for texts in lists])
+
+    out = rank.rerank(rank.rank(spark.range(1), chunks, ["cache"]), by_length).first()
+    assert {c.chunk_id: c.normalized_score for c in out.ranked}[3] == 0.5
+
+
 def test_reports_and_cases(spark, tmp_path):
     (tmp_path / "cases.json").write_text('[{"id": "x", "task": "t"}, {"id": "y", "task": null}]')
     cases = pages.read_cases(spark, str(tmp_path / "cases.json"), "id string, task string")
