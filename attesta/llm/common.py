@@ -128,8 +128,10 @@ def near_ids(df: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir.  Only a local session (tests) may do without and gets a temporary one."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base := tempfile.mkdtemp(prefix="attesta-"))
     return base.rstrip("/")
 

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from attesta.llm import bpe, decontam, flac, langid, linededup, maintext, pii, quality, shinglesim, simhash, suffixdedup
 from attesta.llm.common import held_out
+from attesta.operators import dom
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " ", "\n", "a", "The same text twice.\nA line", "The same text twice.\nA line", "é😀" * 50, "x " * 30_000, "1234 5678 é́", "1" * 50_000]
@@ -97,6 +98,11 @@ def test_every_language_is_learned(spark):
     assert len(model) == 301 and sum(len(t) for _, t in model) <= 480_000
 
 
+def test_language_ties_go_by_the_alphabet():
+    parser = langid.CrossParser((("aa", b"same text here"), ("bb", b"same text here")))
+    assert parser.predict(["same here", "zz", None, "12"]) == [("aa", 0.5), ("aa", 0.5), ("und", 0.0), ("und", 0.0)]
+
+
 def test_language_edge_cases(odd, empty, docs):
     model = langid.learn(docs, ~held_out(F.col("doc_id")))
     rows = langid.identify(odd, model).collect()
@@ -143,6 +149,19 @@ def test_main_text_of_generated_layouts():
     assert right / n > 0.96
 
 
+def test_pages_equal_their_articles(spark, data):
+    """The whole query against the articles' blocks, read by the library's own tree of elements."""
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    got = {r.page_id: r.text for r in maintext.extract(pages).collect()}
+    want = {}
+    for r in pages.collect():
+        root = dom.tree(r.html)
+        article = root.find(lambda e: e.tag == "article")
+        blocks = [re.sub(r"\s+", " ", e.text()).strip() for e in article.walk() if e.tag in ("h1", "p")]
+        want[r.page_id] = "\n".join(b for b in blocks if b)
+    assert sum(got[k] == want[k] for k in want) >= 0.98 * len(want) and len(want) > 40
+
+
 def test_stray_ends_take_linear_time():
     seconds = []
     for n in (2_000, 16_000):
@@ -496,6 +515,31 @@ def test_quality_of_held_out_documents(spark, docs, data):
     assert n > 10 and right > 0.85
 
 
+def test_scores_equal_plain_averages(spark, docs, data):
+    """The whole query against the average of all features of a text, one by one."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.learn(docs, labels, ~held_out(F.col("doc_id")))
+    got = {r.doc_id: r for r in quality.score_held_out(docs, labels).collect()}
+    for r in docs.collect():
+        words = (r.text or "").split()
+        used = [f for w in words for f in quality.features(w)] + [quality.REPEATED] * (quality.REPEAT_WEIGHT * sum(a == b for a, b in zip(words, words[1:])))
+        odds = float(model.feature[used].astype(float).mean()) + model.bias if words else model.base
+        want = 1 / (1 + np.exp(-odds))
+        assert abs(got[r.doc_id].score - want) < 1e-4 and (got[r.doc_id].predicted == int(want >= 0.7) or abs(want - 0.7) < 1e-4)
+
+
+def test_label_ties_count_as_good(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality.SubwordClassifier, "fit", lambda self, texts, marks: seen.update(zip(texts, marks)) or self)
+    docs = spark.createDataFrame([(1, "tie"), (2, "bad"), (3, "good")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    quality.learn(docs, labels, F.lit(True))
+    assert seen == {"tie": 1, "bad": 0, "good": 1}
+    seen.clear()
+    quality.learn(docs.withColumn("text", F.repeat("text", F.lit(100))), labels, F.lit(True), train_chars=450)
+    assert 1 <= len(seen) < 3
+
+
 def test_quality_edge_cases(spark, odd, empty, docs, data):
     labels = spark.createDataFrame([(5, 1, "x"), (5, 0, "x"), (8, 0, "x"), (None, 1, "x"), (9, None, "x"), (7, 1, "x")], "doc_id long, quality int, text string")
     model = quality.learn(odd, labels, F.lit(True))
