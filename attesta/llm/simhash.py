@@ -256,7 +256,8 @@ def least_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     The rows that go are fewer than those that stay, so only rows near their ids meet the exact join.
     """
     groups, _ = materialise(groups.where("doc_id is not null").groupBy("doc_id", "h", "root").agg(F.count("*").alias("rows")), "groups")
-    heads = groups.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    # as a table of its own, so that the join below is between plain shuffles and Spark can split a large group's rows
+    heads, _ = materialise(groups.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("head")), "heads")
     judged = groups.join(heads, "root").withColumn("stays", (F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.h") == F.col("h")))
     acted, _ = materialise(judged.where("not stays or rows > 1").select("doc_id", "h", "stays"), "copies")
     text_hash = unused("text_hash", docs)
