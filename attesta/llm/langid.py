@@ -9,7 +9,8 @@ phrase ends where its block ends.
 
 Learning takes a hash sample of labelled rows that no evaluation holds out: about `sample_docs` documents a language, of
 which whole texts are kept, in order of their hash, while they fit in `train_bytes`.  Beyond `total_bytes` over all languages
-each language gets less.  These bounds are parameters and do not grow; every language that has a label is learned.
+each language gets less, and one whose sampled texts are all longer than its part learns from the beginning of one.  These
+bounds are parameters and do not grow; every language that has a label is learned.
 
 Null texts and texts without any letter get `und` and score 0.  Ties go to the language first in the alphabet.  With
 no labelled rows every text gets `und`.  Repeated rows are scored alike; other columns are never read.
