@@ -154,10 +154,20 @@ class BlockwiseSuffixes:
         first, second = first[order], second[order]
         new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
         group, one = np.cumsum(new) - 1, places[order[new]]
-        words = [self.word(one + k) for k in range(0, PERIOD, 8)]
-        in_order = np.lexsort(words[::-1])
+        # by eight bytes at a time, and only those that are still tied by the next eight
+        in_order = np.argsort(key := self.word(one))
+        fresh = np.concatenate([[True], key[in_order[1:]] != key[in_order[:-1]]])
+        for k in range(8, PERIOD, 8):
+            tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
+            if not len(tied):
+                break
+            members = in_order[tied]
+            key = self.word(one[members] + k)
+            turn = np.lexsort((key, np.cumsum(fresh)[tied]))
+            in_order[tied], key = members[turn], key[turn]
+            fresh[tied] |= np.concatenate([[True], key[1:] != key[:-1]])
         rank, out = np.empty(len(one), np.int64), np.empty(len(places), np.int64)
-        rank[in_order] = np.cumsum(np.concatenate([[False], np.logical_or.reduce([w[in_order[1:]] != w[in_order[:-1]] for w in words])]))
+        rank[in_order] = np.cumsum(fresh)
         out[order] = rank[group]
         return out
 
