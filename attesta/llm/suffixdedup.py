@@ -142,6 +142,7 @@ class BlockwiseSuffixes:
         self.to_cover = np.array([int(min((c - r) % PERIOD for c in self.cover)) for r in residues])
         self.slot = np.searchsorted(self.cover, residues)
         self._rank()
+        self.meets, self.slots, self.rank_of = meeting(PERIOD), self.slot.tolist(), self.ranks[384].item
 
     def word(self, at: np.ndarray) -> np.ndarray:
         """Eight bytes as a number that orders like them."""
@@ -191,8 +192,9 @@ class BlockwiseSuffixes:
 
     def compare(self, a: int, b: int) -> int:
         """The order of two places whose first 64 bytes are equal, by the ranks where both meet the cover."""
-        d = meeting(PERIOD)[a % PERIOD, b % PERIOD]
-        x, y = (int(self.ranks[384][self.sample(p + d)]) for p in (a, b))
+        d = self.meets[a % PERIOD, b % PERIOD]
+        p, q, n, slot = a + d, b + d, len(self.cover), self.slots
+        x, y = self.rank_of(p // PERIOD * n + slot[p % PERIOD]), self.rank_of(q // PERIOD * n + slot[q % PERIOD])
         if x == y:
             x, y = (self.text[p + d + 384 : p + LENGTH].tobytes() for p in (a, b))
         return (x > y) - (x < y)
@@ -231,7 +233,9 @@ class BlockwiseSuffixes:
         tied = head[order[1:]] == head[order[:-1]]
         if (mixed := tied & (r[order[1:]] != r[order[:-1]])).any():  # other residues meet at other places than the next cover position
             for ties in groups_with(tied, mixed):
-                order[ties] = sorted(order[ties].tolist(), key=cmp_to_key(lambda a, b: self.compare(int(p[a]), int(p[b]))))
+                some = order[ties]
+                at = dict(zip(some.tolist(), p[some].tolist()))
+                order[ties] = sorted(at, key=cmp_to_key(lambda a, b: self.compare(at[a], at[b])))
         p, sample, r = p[order], sample[order], r[order]
         lies_alike = tied & (r[1:] == r[:-1])
         same = lies_alike & alike((key, *tails), order[1:], order[:-1])
