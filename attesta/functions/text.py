@@ -72,15 +72,22 @@ def query_term_count(c: Column) -> Column:
     return F.size(F.filter(words(c), lambda t: F.length(t) > 2))
 
 
-def shingles(c: Column, n: int = 4) -> Column:
-    """Distinct runs of n words; empty below n words."""
-    w = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " +"), lambda t: F.length(t) > 1)
+def shingle_words(c: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " +"), lambda t: F.length(t) > 1)
+
+
+def word_runs(w: Column, n: int = 4) -> Column:
+    """Distinct runs of n words; empty below n words.  w is named often, so it should be a column."""
     # the shifted arrays side by side: naming w within a lambda would split the text again for each run
     runs = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0))).alias(f"w{i}") for i in range(n)])
     whole = F.slice(runs, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
     return F.array_distinct(F.transform(whole, lambda r: F.concat_ws(" ", *[r[f"w{i}"] for i in range(n)])))
 
 
+def shingles(c: Column, n: int = 4) -> Column:
+    return word_runs(shingle_words(c), n)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of arrays of distinct values."""
     both = F.size(F.array_intersect(a, b))

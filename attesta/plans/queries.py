@@ -427,7 +427,9 @@ def injection_warnings(spark, sf_dir):
 
 
 def _shingle_rows(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select(id_col, T.shingles(F.col("text")).alias("s")).where(F.size("s") > 0).select(id_col, F.size("s").alias("n"), F.explode("s").alias("s"))
+    words = staged(df.select(id_col, "text"), w=T.shingle_words(F.col("text"))).select(id_col, "w")
+    runs = staged(words, s=T.word_runs(F.col("w"))).where(F.size("s") > 0)
+    return runs.select(id_col, F.size("s").alias("n"), F.explode("s").alias("s"))
 
 
 _SH = "list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')))"
