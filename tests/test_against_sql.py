@@ -33,3 +33,8 @@ def long_pages(spark, tmp_path_factory):
 
 def test_blocks_of_a_long_page(spark, long_pages):
     assert len(same_as_sql(spark, long_pages, "blocks")) == 701
+
+
+def test_dom_paths_of_a_long_page(spark, long_pages):
+    rows = same_as_sql(spark, long_pages, "dom_paths")
+    assert any("p:nth-of-type(700)" in x for r in rows for x in r if isinstance(x, str))
