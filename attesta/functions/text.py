@@ -14,6 +14,11 @@ def strings(words: Iterable[str]) -> Column:
     return F.array(*map(F.lit, words)).cast("array<string>")
 
 
+def rounded(c: Column, places: int = 4) -> Column:
+    """A double rounded as the SQL does: scaled first, then half away from zero.  round() takes the shortest decimal print instead."""
+    return F.round(c * float(10**places)) / float(10**places)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (trim() only takes blanks)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, EngineConfig
-from ..functions.text import coverage, normalize, phrases, query_term_count, sentences, task_terms, tokens, trim_to_budget
+from ..functions.text import coverage, normalize, phrases, query_term_count, rounded, sentences, task_terms, tokens, trim_to_budget
 from ..plans.stage import staged
 from .chunk import chunk_array
 
@@ -78,9 +78,9 @@ def rank(df: DataFrame, chunks: Column, tasks: list[str] | None = None, metadata
     total = lambda c: sum((c["breakdown"][k] for k in ("phrase", "heading", "metadata", "structured_data", "position")), c["breakdown"]["bm25"])
     rows = staged(weighed, _rows=F.transform(all_chunks, scored))
     topped = staged(rows, _top=F.array_max(F.transform("_rows", total)))
-    rounded = staged(topped, _rounded=F.transform("_rows", lambda c: c.withField("score", F.round(total(c), 4)).withField("normalized_score", F.when(F.col("_top") > 0, F.round(total(c) / F.col("_top"), 4)).otherwise(0.0))))
+    short = staged(topped, _rounded=F.transform("_rows", lambda c: c.withField("score", rounded(total(c))).withField("normalized_score", F.when(F.col("_top") > 0, rounded(total(c) / F.col("_top"))).otherwise(0.0))))
     best_first = lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise((x["chunk_id"] - y["chunk_id"]).cast("int"))
-    return staged(rounded, ranked=F.array_sort("_rounded", best_first)).drop("_chunks", "_terms", "_phrases", "_meta", "_data", "_average", "_df", "_idf", "_rows", "_top", "_rounded")
+    return staged(short, ranked=F.array_sort("_rounded", best_first)).drop("_chunks", "_terms", "_phrases", "_meta", "_data", "_average", "_df", "_idf", "_rows", "_top", "_rounded")
 
 
 def selected_ids(ranked: Column, max_tokens: Column | int, min_score: float = DEFAULTS.min_score) -> Column:
@@ -167,7 +167,7 @@ def rerank_array(ranked: Column, scores: Column, weight: float = 1.0, top: int =
     """Blends a scorer's numbers (one for each of the first `top` chunks) with the normalised score; the tail stays as it is."""
     head = F.slice(ranked, 1, top)
     best = F.greatest(F.array_max(scores), F.lit(1e-9))
-    mixed = F.zip_with(head, scores, lambda c, s: c.withField("normalized_score", F.round((c["normalized_score"] + weight * s / best) / (1 + weight), 4)))
+    mixed = F.zip_with(head, scores, lambda c, s: c.withField("normalized_score", rounded((c["normalized_score"] + weight * s / best) / (1 + weight))))
     return F.concat(by_norm(mixed), F.filter(ranked, lambda c, i: i >= top))
 
 
