@@ -154,7 +154,7 @@ def trim_to_budget(c: Column, max_tokens: int) -> Column:
 def token_savings(raw: Column, returned: Column) -> Column:
     """raw_tokens, returned_tokens, saved_tokens and savings_ratio of two token counts."""
     saved = F.greatest(F.lit(0), raw - returned)
-    return F.struct(raw.alias("raw_tokens"), returned.alias("returned_tokens"), saved.alias("saved_tokens"), F.when(raw == 0, F.lit(0.0)).otherwise(F.round(saved / raw, 4)).alias("savings_ratio"))
+    return F.struct(raw.alias("raw_tokens"), returned.alias("returned_tokens"), saved.alias("saved_tokens"), F.when(raw == 0, F.lit(0.0)).otherwise(rounded(saved / raw)).alias("savings_ratio"))
 
 
 def fingerprint(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_match, preview, provenance_terms
+from ..functions.text import normalize_match, preview, provenance_terms, rounded
 
 
 def prepared_blocks(blocks: Column) -> Column:
@@ -31,4 +31,4 @@ def source_blocks(chunk: Column, terms: Column, blocks: Column, most: int = 5) -
 
     usable = F.filter(F.transform(blocks, scored), lambda x: (x["order"] < 0) & (F.size(terms) > 0))
     best = F.slice(F.array_sort(usable, lambda x, y: F.when(x["order"] < y["order"], -1).when(x["order"] > y["order"], 1).otherwise((x["id"] - y["id"]).cast("int"))), 1, most)
-    return F.transform(best, lambda x: x["b"].withField("overlap_score", F.round(-x["order"], 4)).withField("text_preview", preview(x["b"]["text"], 220)))
+    return F.transform(best, lambda x: x["b"].withField("overlap_score", rounded(-x["order"])).withField("text_preview", preview(x["b"]["text"], 220)))

@@ -158,7 +158,7 @@ def confidence(selected: Column, task: Column, max_tokens: Column | int, config:
     reasons = F.when(none, F.array(F.lit("no_chunks_selected"))).otherwise(
         F.concat(reason(score < 0.35, "low_top_score"), reason((share < 0.34) & (n_terms > 1), "few_query_terms_matched"), reason((F.size(selected) == 1) & (fill < 0.2), "very_short_evidence"))
     )
-    total = F.when(none, 0.0).otherwise(F.round(F.least(F.lit(1.0), score * 0.6 + share * 0.3 + F.least(fill, F.lit(0.5)) * 0.2), 4))
+    total = F.when(none, 0.0).otherwise(rounded(F.least(F.lit(1.0), score * 0.6 + share * 0.3 + F.least(fill, F.lit(0.5)) * 0.2)))
     level = F.when(none, "low").when((F.size(reasons) == 0) & (total >= 0.6), "high").when((F.size(reasons) >= 2) | (total < 0.3), "low").otherwise("medium")
     return F.struct(level.alias("level"), total.alias("score"), reasons.alias("reasons"))
 

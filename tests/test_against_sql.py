@@ -62,3 +62,7 @@ def test_rounded_as_sql(spark):
 
 def test_blends_that_end_in_a_five(spark, tmp_path):
     same_as_sql(spark, rows_of(spark, tmp_path, "documents", "doc_id", [1625, 2207, 5261, 8417, 9982]), "reranked")
+
+
+def test_overlaps_and_savings_that_end_in_a_five(spark, tmp_path):
+    same_as_sql(spark, rows_of(spark, tmp_path, "pages", "page_id", [517, 596]), "context_capsule")
