@@ -45,7 +45,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
@@ -62,6 +66,7 @@ class BKTree:
         self.children: list[dict[int, int]] = []
         self.root: list[int] = []  # union-find over nodes
         self.whole: list[bool] = []  # the subtree lies in one component
+        self.joins: list[tuple[int, int]] = []  # links between what were two components
 
     def find(self, x: int) -> int:
         root = self.root
@@ -83,6 +88,7 @@ class BKTree:
                 continue
             d = (keys[at] ^ key).bit_count()
             if d <= radius and theirs != mine:
+                self.joins.append((new, at))
                 self.root[max(theirs, mine)] = mine = min(theirs, mine)
             todo += [c for edge, c in children[at].items() if -radius <= edge - d <= radius]
         path, at = [], 0
@@ -167,8 +173,10 @@ def shards(nodes: DataFrame, radius: int, shard_size: int, crowd: int) -> DataFr
     return out.union(each.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "fp"))
 
 
-def links(nodes: DataFrame, radius: int = 4, shard_size: int = 2000, crowd: int = 20_000) -> DataFrame:
-    """a, b: a star around the least fingerprint of every shard's component; nodes: distinct column fp."""
+def links(nodes: DataFrame, radius: int = 4, shard_size: int = 2000, crowd: int = 20_000, direct: bool = False) -> DataFrame:
+    """a, b: a star around the least fingerprint of every shard's component, or (direct) a tree of links within the radius;
+    nodes: distinct column fp.
+    """
     dealt = shards(nodes, radius, shard_size, crowd)
 
     def search(batches):
@@ -176,7 +184,9 @@ def links(nodes: DataFrame, radius: int = 4, shard_size: int = 2000, crowd: int
 
         def stars():
             a, b = [], []
-            if len(tree.keys) > 1:
+            if direct:
+                a, b = ([signed(tree.keys[pair[k]]) for pair in tree.joins] for k in (0, 1))
+            elif len(tree.keys) > 1:
                 for members in tree.components().values():
                     if len(members) > 1:
                         least = signed(min(members))
@@ -198,6 +208,18 @@ def links(nodes: DataFrame, radius: int = 4, shard_size: int = 2000, crowd: int
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long")
 
 
+def linked_nodes(nodes: DataFrame, radius: int = 4, shard_size: int = 2000, crowd: int = 20_000) -> DataFrame:
+    """a, b (structs of node and size): nodes whose fingerprints link, enough of them to span each component of a shard.
+
+    nodes: node, size, fp.  The least node of a fingerprint stands for it in the trees, and links with its others.
+    """
+    heads, _ = materialise(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")), "heads")
+    equal = nodes.join(heads, "fp").select(F.col("head").alias("a"), F.struct("node", "size").alias("b")).where("a.node != b.node")
+    of_a, of_b = (heads.select(F.col("fp").alias(f"fp_{c}"), F.col("head").alias(c)) for c in "ab")
+    near = links(heads.select("fp"), radius, shard_size, crowd, direct=True).toDF("fp_a", "fp_b")
+    return equal.union(near.join(of_a, "fp_a").join(of_b, "fp_b").select("a", "b"))
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, root (the least node that it reaches) of an undirected graph with columns a and b."""
     spark = edges.sparkSession

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import plain_lines
 
 import corpus_pipeline
-from attesta.llm import bpe, decontam, quality, shinglesim
+from attesta.llm import bpe, decontam, quality, shinglesim, simhash
 from attesta.llm.common import held_out
 
 
@@ -81,3 +81,36 @@ def test_copies_equal_brute_force_jaccard(spark, data):
     assert {r.doc_id: r.component_id for r in shinglesim.near_duplicates(frame).collect()} == want
     kept = {r.doc_id for r in corpus_pipeline.by_copies(spark, frame, data).collect()}
     assert kept == {i for i, c in want.items() if i == c}
+
+
+def test_copies_go_through_simhash_and_its_trees(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(400)]
+    texts = [" ".join(base[:k] + ["edited"] + base[k + 1 :]) for k in range(5, 395, 30)] + [" ".join(f"x{rng.randrange(900)}" for _ in range(200)) for _ in range(30)]
+    found = []
+
+    def searched(nodes, *args, _links=simhash.links, **options):
+        out = _links(nodes, *args, **options)
+        found.append(({r.fp for r in nodes.collect()}, {(r[0], r[1]) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(simhash, "links", searched)
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.by_copies(spark, frame, "").collect()}
+    assert kept == {i for i, g in enumerate(plain_groups(texts)) if i == g}
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    [(fps, pairs)] = found
+    assert fps == set(map(simhash.signed, prints))
+    assert pairs and all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in pairs)
+    # the links span the components that comparing all fingerprints gives
+    root = {p: p for p in prints}
+    for p in root:
+        for q in list(root):
+            if (p ^ q).bit_count() <= 4:
+                low, high = sorted((root[p], root[q]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    span = {p: p for p in prints}
+    for a, b in pairs:
+        low, high = sorted((span[a & (1 << 64) - 1], span[b & (1 << 64) - 1]))
+        span = {k: low if v == high else v for k, v in span.items()}
+    assert span == root
