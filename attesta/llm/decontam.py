@@ -5,8 +5,8 @@ walk reads a sequence and writes two symbols on average for each of its own, sta
 random bit for (step, symbol); a small edit distance becomes a small Hamming distance.  Every walk is sampled a few times
 (before the steps where most walks are past the end, and equal for no reason), and each sample of a few output positions is a
 hash table of the items of one length: an item-sized window of a document looks its own sample up in each table, and the
-items found there are its candidates.  Walks are added until edited copies of the
-items, at the distance limit and read through the same windows, are found with the target recall; a target that
+items found there are its candidates.  The walks of all windows of a batch, of every length, go step by step side by side.
+Walks are added until edited copies of the items, at the distance limit and read through the same windows, are found with the target recall; a target that
 cannot be reached raises.  Candidates are verified by the exact word edit distance, with free ends in the document, and
 where that is above the limit by the exact edit distance of letters, since a misspelt word is not another word.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,14 +35,22 @@ from .common import forget, keep_texts, map_columns, materialise
 #: Scripts without blanks between words: Thai to Burmese, Khmer, kana and Chinese characters.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+#: For each Latin-1 character its small letter, or a blank if it is in no word.
+LATIN = bytes(ord(c.lower()) if WORD.fullmatch(c) else 32 for c in map(chr, range(256)))
 #: Steps for each word of the item, samples of each walk, and the symbols in a sample.
 STRETCH, TABLES, SAMPLED = 2, 4, 3
 MOST_WALKS = 256
+#: Symbols of the windows and walks that go side by side; together they bound the memory of a step.
+SYMBOLS, ABREAST = 1 << 18, 8
 MIX = np.uint64(0x94D049BB133111EB)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = text or ""
+    try:  # the same words without the regular expression
+        return text.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
 
 
 def infix_distance(item: list, region: list, limit: int) -> tuple[int, int, int]:
@@ -126,43 +135,62 @@ class EditIndex:
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
         self.letters = [" ".join(w) for _, w in self.items]
         self.letter_edits = [int((1 - similarity) * len(t) + 1e-9) for t in self.letters]
-        self.by_length: dict[int, np.ndarray] = {}
-        for m in sorted({len(c) for c in self.codes}):
-            self.by_length[m] = np.array([k for k, c in enumerate(self.codes) if len(c) == m])
-        self.steps = STRETCH * max(self.by_length, default=1)
+        self.sizes = np.array([len(c) for c in self.codes], np.int64)
+        self.lengths = np.unique(self.sizes)
+        self.steps = STRETCH * int(self.sizes.max(initial=1))
         #: The walk's shared random bit for (walk, step, symbol) is the top bit of a product of these.
         self.symbols = np.random.default_rng(seed).integers(1, 1 << 63, len(self.words) + 1, np.uint64) | np.uint64(1)
         self.walks: list[tuple] = []
-        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {m: [] for m in self.by_length}
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         self._seeds()
         self._plan(recall, plan_items)
 
     def _walk(self) -> None:
-        """One more walk: its random bits, sampled positions by length, and a table for each sample."""
+        """One more walk: its random bits, sampled positions by length, and its tables, one after another by key."""
         rng = np.random.default_rng([self.seed, len(self.walks)])
         factors = rng.integers(0, 1 << 63, self.steps, np.uint64) << np.uint64(1) | np.uint64(1)
         shifts = rng.integers(0, 1 << 63, self.steps, np.uint64)
-        sampled = {m: np.sort(rng.integers(0, STRETCH * m, (TABLES, SAMPLED)), axis=1) for m in self.by_length}
+        sampled = np.stack([np.sort(rng.integers(0, STRETCH * m, (TABLES, SAMPLED)), axis=1) for m in self.lengths.tolist()])
         self.walks.append((factors, shifts, sampled))
-        for m, own in self.by_length.items():
-            for keys in self.embed(np.stack([self.codes[k] for k in own]), m, len(self.walks) - 1):
-                order = np.argsort(keys, kind="stable")
-                self.tables[m].append((keys[order], own[order]))
-
-    def embed(self, windows: np.ndarray, m: int, walk: int) -> np.ndarray:
-        """For windows of m symbols: a number for each sample of the walk, tables by windows."""
-        factors, shifts, sampled = self.walks[walk]
-        n, wanted = len(windows), sampled[m]
-        padded = np.concatenate([windows, np.zeros((n, 1), np.int64)], axis=1)
-        out, rows, at = np.zeros((TABLES, n), np.uint64), np.arange(n), np.zeros(n, np.int64)
-        for step in range(int(wanted.max()) + 1):
-            symbol = padded[rows, at]
-            for table, times in enumerate((wanted == step).sum(axis=1)):
-                for _ in range(times):
-                    out[table] = mixed(out[table], symbol)
-            moves = ((self.symbols[symbol] ^ shifts[step]) * factors[step]) >> np.uint64(63)
-            at = np.minimum(at + moves.astype(np.int64), m)
-        return out
+        own, keys = np.argsort(-self.sizes, kind="stable"), []
+        for low, high in self.slices(self.sizes[own]):
+            m = self.sizes[own[low:high]]
+            symbols = np.zeros((high - low, int(m[0]) + 1), np.int64)
+            for row, k in zip(symbols, own[low:high].tolist()):
+                row[: len(self.codes[k])] = self.codes[k]
+            keys.append(self.embed(symbols, m, [len(self.walks) - 1]).ravel())
+        found = np.concatenate(keys)
+        order = np.argsort(found, kind="stable")
+        self.tables.append((found[order], own[order // TABLES]))
+
+    @staticmethod
+    def slices(m: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Slices of windows, which come by length with the longest first."""
+        low = 0
+        while low < len(m):
+            high = min(len(m), low + max(1, SYMBOLS // max(int(m[low]) + 1, 32)))
+            yield low, high
+            low = high
+
+    def embed(self, windows: np.ndarray, m: np.ndarray, walks: list[int]) -> np.ndarray:
+        """For windows of m symbols and zeros after them, the longest first: a number for each sample, walks by windows by tables."""
+        n, width = windows.shape
+        factors, shifts, sampled = map(np.stack, zip(*(self.walks[w] for w in walks)))
+        codes, symbols = windows.ravel(), self.symbols[windows.ravel()]
+        first = np.arange(n) * width
+        last, at = first + m, np.tile(first, (len(walks), 1))
+        path = np.zeros((STRETCH * int(m[0]), len(walks), n), np.int64 if n * width >> 31 else np.int32)
+        for step, going in enumerate(np.searchsorted(-m, -(np.arange(len(path)) // STRETCH)).tolist()):
+            here = at[:, :going]
+            path[step, :, :going] = here
+            moves = ((symbols[here] ^ shifts[:, step, None]) * factors[:, step, None]) >> np.uint64(63)
+            np.minimum(here + moves.astype(np.int64), last[:going], out=here)
+        steps = sampled[:, np.searchsorted(self.lengths, m)]
+        seen = codes[path[steps, np.arange(len(walks))[:, None, None, None], np.arange(n)[:, None, None]]]
+        keys = np.broadcast_to(mixed(np.uint64(1), m[:, None] * TABLES + np.arange(TABLES)), seen.shape[:3])
+        for k in range(SAMPLED):
+            keys = mixed(keys, seen[..., k])
+        return keys
 
     def _seeds(self) -> None:
         """Runs of q words of all items in order, and by run the lengths of its items and its places in them."""
@@ -192,16 +220,24 @@ class EditIndex:
             copies.append(np.array([0, 0, *copy, 0, 0], np.int64))
         ends = np.cumsum([len(c) for c in copies])
         stream, found = np.concatenate(copies), np.zeros(len(copies), bool)
-        doc, m, start = self.windows(stream, ends)
-        parts = [(length, doc[m == length], self.cut(stream, ends, doc[m == length], start[m == length], length)) for length in np.unique(m).tolist()]
+        parts = list(self.parts(stream, ends))
         while found.mean() < recall:
             if len(self.walks) == MOST_WALKS:
                 raise ValueError(f"{MOST_WALKS} walks find {found.mean():.3f} of the edited items, not {recall}")
             self._walk()
-            for length, docs, windows in parts:
-                window, item = self.lookup(windows, length, [len(self.walks) - 1])
-                mine = chosen[docs[window]]
-                found[docs[window[mine == item]]] = True
+            for doc, m, _, windows in parts:
+                window, item = self.lookup(windows, m, [len(self.walks) - 1])
+                mine = chosen[doc[window]]
+                found[doc[window[mine == item]]] = True
+
+    def parts(self, stream: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Text number, length, first word and symbols of the windows to look at, the longest first, some at a time."""
+        found = self.windows(stream, ends)
+        order = np.argsort(-found[1], kind="stable")
+        doc, m, start = (x[order] for x in found)
+        for low, high in self.slices(m):
+            some = doc[low:high], m[low:high], start[low:high]
+            yield *some, self.cut(stream, ends, *some)
 
     def windows(self, stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text number, length and first word (in the stream) of the windows to look at, without repeats."""
@@ -225,41 +261,41 @@ class EditIndex:
         return doc[new], m[new], start[new]
 
     @staticmethod
-    def cut(stream, ends, doc, start, m) -> np.ndarray:
-        """The symbols of windows; 0 outside their text."""
-        first = np.concatenate([[0], ends])[doc]
-        at = start[:, None] + np.arange(m)
-        return np.where((at >= first[:, None]) & (at < ends[doc][:, None]), stream[np.clip(at, 0, len(stream) - 1)], 0)
+    def cut(stream, ends, doc, m, start) -> np.ndarray:
+        """The symbols of windows, the longest first; 0 outside their text and from the end of the window on."""
+        first, k = np.concatenate([[0], ends])[doc], np.arange(int(m[0]) + 1)
+        at = start[:, None] + k
+        return np.where((at >= first[:, None]) & (at < ends[doc][:, None]) & (k < m[:, None]), stream[np.clip(at, 0, len(stream) - 1)], 0)
 
-    def lookup(self, windows: np.ndarray, m: int, walks) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, windows: np.ndarray, m: np.ndarray, walks: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Window number and item number of the candidates, without repeats."""
         found = [np.zeros(0, np.int64)]
-        for walk in walks:
-            for keys, (known, items) in zip(self.embed(windows, m, walk), self.tables[m][walk * TABLES :]):
-                of, at = expand(np.searchsorted(known, keys), np.searchsorted(known, keys, side="right"))
-                found.append(of * len(self.items) + items[at])
+        for low in range(0, len(walks), ABREAST):
+            some = walks[low : low + ABREAST]
+            for walk, keys in zip(some, self.embed(windows, m, some)):
+                known, items = self.tables[walk]
+                place = np.searchsorted(known, keys)
+                window, table = np.nonzero(known[np.minimum(place, len(known) - 1)] == keys)
+                of, at = expand(place[window, table], np.searchsorted(known, keys[window, table], side="right"))
+                found.append(window[of] * len(self.items) + items[at])
         both = np.unique(np.concatenate(found))
-        return both // len(self.items), both % len(self.items)
+        window, item = both // len(self.items), both % len(self.items)
+        same = self.sizes[item] == m[window]
+        return window[same], item[same]
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, int, float, int, int]]:
         """(text number, item number, unit, edits, similarity, first word, word after the last): the best match for each text and item."""
-        get = self.words.get
         docs = [words_of(t) for t in texts]
         ends = np.cumsum([len(d) for d in docs])
         if not self.items or not len(ends) or not ends[-1]:
             return
-        stream = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, int(ends[-1]))
-        all_docs, lengths, starts = self.windows(stream, ends)
+        stream = np.fromiter(map(self.words.get, chain.from_iterable(docs), repeat(0)), np.int64, int(ends[-1]))
         best: dict[tuple[int, int], tuple] = {}
-        for m in np.unique(lengths).tolist():
-            of_length = np.flatnonzero(lengths == m)
-            for part in range(0, len(of_length), 8192):
-                some = of_length[part : part + 8192]
-                windows = self.cut(stream, ends, all_docs[some], starts[some], m)
-                for i, k in zip(*(x.tolist() for x in self.lookup(windows, m, range(len(self.walks))))):
-                    doc = int(all_docs[some[i]])
-                    if (found := self.verify(k, windows[i], docs[doc], stream[ends[doc] - len(docs[doc]) : ends[doc]], int(starts[some[i]] - ends[doc]) + len(docs[doc]))) and found < best.get((doc, k), (2.0,)):
-                        best[doc, k] = found
+        for of, m, starts, windows in self.parts(stream, ends):
+            for i, k in zip(*(x.tolist() for x in self.lookup(windows, m, list(range(len(self.walks)))))):
+                doc = int(of[i])
+                if (found := self.verify(k, windows[i, : m[i]], docs[doc], stream[ends[doc] - len(docs[doc]) : ends[doc]], int(starts[i] - ends[doc]) + len(docs[doc]))) and found < best.get((doc, k), (2.0,)):
+                    best[doc, k] = found
         for (doc, k), (distance, s, t, unit, edits) in sorted(best.items()):
             yield doc, k, unit, edits, 1 - distance, s, t
 

@@ -484,6 +484,56 @@ def test_letter_distance():
             assert decontam.infix_letters(a, b, 1000, anchored)[0] == plain_letters(a, b, anchored)
 
 
+def items_of_lengths(rng, lengths):
+    return [(m, " ".join(f"w{rng.randrange(60)}" for _ in range(m))) for m in lengths]
+
+
+def test_walks_of_all_lengths_go_side_by_side(monkeypatch):
+    """What a search costs besides its windows must not grow with the number of lengths and walks."""
+    items, calls, mixed = items_of_lengths(random.Random(4), range(10, 50)), [], decontam.mixed
+    index = decontam.EditIndex(items)
+    monkeypatch.setattr(decontam, "mixed", lambda *a: calls.append(1) or mixed(*a))
+    assert {k for _, k, *_ in index.search([t for _, t in items])} == set(range(len(items)))
+    assert len(calls) < len(items)
+
+
+def test_candidates_equal_plain_walks(monkeypatch):
+    """Windows of several lengths at once, in small slices, against one walk after another."""
+    rng = random.Random(5)
+    index = decontam.EditIndex(items_of_lengths(rng, [1, 2, 5, 9, 9, 14, 30]))
+    text = [rng.choice((0, *range(1, len(index.words) + 1))) for _ in range(40)] + [c for w in index.codes for c in (*w.tolist(), 0)]
+    lengths = sorted(index.sizes.tolist() * 20, reverse=True)
+    m, start = np.array(lengths), np.array([rng.randrange(-3, len(text)) for _ in lengths])
+
+    def samples(codes, walk):
+        factors, shifts, sampled = index.walks[walk]
+        at, seen = 0, []
+        for factor, shift in zip(factors.tolist(), shifts.tolist()):
+            seen.append(code := codes[at] if at < len(codes) else 0)
+            at = min(at + (((int(index.symbols[code]) ^ shift) * factor & (1 << 64) - 1) >> 63), len(codes))
+        return [tuple(seen[k] for k in table) for table in sampled[index.lengths.tolist().index(len(codes))].tolist()]
+
+    walks, want = list(range(len(index.walks))), set()
+    for n, (size, s) in enumerate(zip(lengths, start.tolist())):
+        window = [text[k] if 0 <= k < len(text) else 0 for k in range(s, s + size)]
+        for k, code in enumerate(index.codes):
+            if len(code) == size and any(a == b for w in walks for a, b in zip(samples(window, w), samples(code.tolist(), w))):
+                want.add((n, k))
+    monkeypatch.setattr(decontam, "SYMBOLS", 200)
+    monkeypatch.setattr(decontam, "ABREAST", 2)
+    found = set()
+    for low, high in index.slices(m):
+        windows = index.cut(np.array(text), np.array([len(text)]), np.zeros(high - low, np.int64), m[low:high], start[low:high])
+        found |= {(low + n, k) for n, k in zip(*(x.tolist() for x in index.lookup(windows, m[low:high], walks)))}
+    assert found == want and want
+
+
+def test_words_equal_the_expression():
+    for c in map(chr, [*range(0x3000), 0x3042, 0x4E2D, 0xD800, 0xFB01, 0x1D4B3]):
+        for text in (c, f"aB{c}Cd e", f"É{c}ß"):
+            assert decontam.words_of(text) == decontam.WORD.findall(text.lower())
+
+
 def test_unreachable_recall_raises():
     with pytest.raises(ValueError):
         decontam.EditIndex([(1, "a b c d e f g h i j")], similarity=0.3, recall=1.01)
